@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.bpe import count_tokens, encode_column
 from quillspark.llm.common import ship, table
+from quillspark.llm.near_duplicates import expanded, similar_pairs
 from quillspark.llm.neighbours import nearest, neighbour_pairs
 from quillspark.llm.packing import pack
+from quillspark.llm.quality import common_words, not_prose, text_statistics
+from quillspark.llm.repeated_lines import repeated_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -45,3 +48,36 @@ def p7_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     sizes = count_tokens(documents.select("doc_id", "source", F.md5("text").alias("cluster"), "text"))
     return pack(sizes)
+
+
+def _deliveries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The first load of chunks and the rows that arrived later: over a week after their file began to arrive."""
+    chunks = table(spark, sf_dir, "chunks")
+    begun = chunks.groupBy("source_file").agg(F.min("ingested_at").alias("begun"))
+    # one row a source file; null files and times count as first deliveries
+    dated = chunks.join(begun.withColumnRenamed("source_file", "_file"), F.col("source_file").eqNullSafe(F.col("_file")))
+    late = F.coalesce(F.col("ingested_at") > F.col("begun") + F.expr("interval 7 days"), F.lit(False))
+    return dated.where(~late), dated.where(late)
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return expanded(similar_pairs(table(spark, sf_dir, "chunks"), width=3, threshold=0.5))
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, late = _deliveries(spark, sf_dir)
+    return repeated_lines(first, [late])
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common = common_words(table(spark, sf_dir, "common_words"))
+    return not_prose(text_statistics(table(spark, sf_dir, "chunks"), common))
+
+
+@query
+def p5_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common = common_words(table(spark, sf_dir, "common_words"))
+    return text_statistics(table(spark, sf_dir, "chunks"), common)
