@@ -42,6 +42,8 @@ INLINE_BULLET = re.compile(r"[;•·][ \t]+(?:[•·‣◦▪*-][ \t])|[•·‣
 YEAR_START = re.compile(r"^[ \t]*\d{3,4}[ \t]+\S", re.M)
 CODE = re.compile(r"\b(?=[\w./-]*\d)(?=[\w./-]*[^\W\d_])[\w]+(?:[-/.][\w]+)+\b")
 CELL = re.compile(r"\t|\|| {2,}")
+DIGIT, DIGITS = re.compile(r"\d"), re.compile(r"\b1[5-9]\d\d\b")
+BULLET_SIGN = re.compile(r"[;•·‣◦▪]")
 STRANGE = re.compile(r"[^\w\s.,;:!?'\"()\[\]‘’“”„«»‹›—–‐\-…\xad\xa0¬]")
 REPLACED = re.compile(r"�|[ÃÂ][\x80-\xbf¤¶¼]|â€")
 #: Letter-spaced headings, as ``T H E   W A T E R``.
@@ -81,29 +83,34 @@ def layout(lines: list[str]) -> tuple[float, float, float]:
 def nonprose_score(block: str, lines: list[str], common: frozenset[str] | set[str]) -> float:
     """Over 0: list, table or junk."""
     size = len(block)
-    words = WORD.findall((SPACED.sub("", block) if SPACED.search(block) else block).lower())
+    spaced = SPACED.search(block) is not None
+    words = WORD.findall((SPACED.sub("", block) if spaced else block).lower())
     n = len(words)
-    if n < 3 and size < 40:
+    if n < 3 and (size < 40 or spaced):
         return -1.0
-    known = sum(w in common or w in FUNCTION_WORDS for w in words) / n if n else 0.0
+    known = sum([w in common or w in FUNCTION_WORDS for w in words]) / n if n else 0.0
     strange = len(STRANGE.findall(block)) / size
-    spoilt = len(REPLACED.findall(block)) * 2 / size
     aligned, period, lengths = layout(lines)
-    structure = (
-        3.0 * min(1.0, 1.6 * len(LEADER.findall(block)) / len(lines))
-        + 2.2 * min(1.0, len(ENTRY.findall(block)) * 95 / size)
-        + 1.5 * min(1.0, 9.0 * len(REFERENCE.findall(block)) / max(n, 1))
-        + 1.0 * min(1.0, 3.0 * len(CODE.findall(block)) / max(n, 1))
-        + 0.7 * min(1.0, len(BULLET.findall(block)) / len(lines) if len(lines) > 2 else 0.0)
-        + 0.7 * min(1.0, len(INLINE_BULLET.findall(block)) * 30 / size)
-        + 0.6 * min(1.0, len(YEAR_START.findall(block)) / len(lines) if len(lines) > 2 else 0.0)
-        + 0.8 * aligned
-        + 0.2 * max(0.0, period)
-        + 0.2 * max(0.0, lengths)
-    )
-    junk = min(2.5, 14.0 * max(0.0, strange - 0.03)) + min(2.5, 25.0 * spoilt)
+    many = len(lines) > 2
+    score = 0.8 * aligned + 0.2 * max(0.0, period) + 0.2 * max(0.0, lengths)
+    if ".." in block or "…" in block or "__" in block or ". ." in block:
+        score += 3.0 * min(1.0, 1.6 * len(LEADER.findall(block)) / len(lines))
+    if DIGIT.search(block):
+        if DIGITS.search(block):
+            score += 2.2 * min(1.0, len(ENTRY.findall(block)) * 95 / size)
+        score += 1.5 * min(1.0, 9.0 * len(REFERENCE.findall(block)) / max(n, 1))
+        score += 1.0 * min(1.0, 3.0 * len(CODE.findall(block)) / max(n, 1))
+        if many:
+            score += 0.6 * min(1.0, len(YEAR_START.findall(block)) / len(lines))
+    if many:
+        score += 0.7 * min(1.0, len(BULLET.findall(block)) / len(lines))
+    if BULLET_SIGN.search(block):
+        score += 0.7 * min(1.0, len(INLINE_BULLET.findall(block)) * 30 / size)
+    if strange:
+        spoilt = len(REPLACED.findall(block)) * 2 / size
+        score += min(2.5, 14.0 * max(0.0, strange - 0.03)) + min(2.5, 25.0 * spoilt)
     # prose in the corpus' languages has well over a third of common and function words
-    return structure + junk + 8.0 * (0.27 - known) - 0.9
+    return score + 8.0 * (0.27 - known) - 0.9
 
 
 def describe(text: str | None, common: frozenset[str] | set[str]) -> tuple:
@@ -111,7 +118,7 @@ def describe(text: str | None, common: frozenset[str] | set[str]) -> tuple:
         return (0, len(text or ""), 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, False)
     words = WORD.findall(text.lower())
     visible = [x for x in text.split("\n") if x.strip()]
-    size = sum(not c.isspace() for c in text)
+    size = sum(map(len, text.split()))
     inner = 0
     counted = 0
     for block in BLANK.split(text.strip("\n")):
@@ -128,9 +135,9 @@ def describe(text: str | None, common: frozenset[str] | set[str]) -> tuple:
         n, len(text), len(visible),
         sum(map(len, words)) / n if n else 0.0,
         len(STRANGE.findall(text)) / size,
-        sum(c.isdigit() for c in text) / size,
+        len(DIGIT.findall(text)) / size,
         sum(x.rstrip().endswith(SENTENCE_END) for x in visible) / len(visible),
-        sum(w in common or w in FUNCTION_WORDS for w in words) / n if n else 0.0,
+        sum([w in common or w in FUNCTION_WORDS for w in words]) / n if n else 0.0,
         aligned, period, lengths, share, share <= 0.5,
     )
 

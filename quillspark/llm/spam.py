@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.quality import ENTRY, FUNCTION_WORDS, LEADER, REFERENCE
+from quillspark.llm.quality import DIGIT, DIGITS, ENTRY, FUNCTION_WORDS, LEADER, REFERENCE
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
 SENTENCE = re.compile(r"(?<=[.!?])[\"”»]?\s+(?=[^\W\d_a-zäöüß]|[\"“„«])")
@@ -48,34 +48,34 @@ def repeated(symbols: list[str]) -> np.ndarray:
     n = len(symbols)
     if n < 2 * LEAST_REPEAT - 2:
         return np.zeros(n, dtype=bool)
-    edges: list[dict[str, int]] = [{}]
-    link, length, ends = [-1], [0], []
+    edges: list[dict[str, int]] = [{}] + [{} for _ in range(n)]
+    # states 1 to n are the prefixes, clones follow
+    link, length = [-1] + [0] * n, list(range(n + 1))
     last = 0
-    for position, symbol in enumerate(symbols):
-        state = len(edges)
-        edges.append({})
-        link.append(0)
-        length.append(position + 1)
+    for state, symbol in enumerate(symbols, 1):
         p = last
-        while p >= 0 and symbol not in edges[p]:
-            edges[p][symbol] = state
-            p = link[p]
-        if p >= 0:
-            q = edges[p][symbol]
-            if length[p] + 1 == length[q]:
-                link[state] = q
-            else:
-                clone = len(edges)
-                edges.append(edges[q].copy())
-                link.append(link[q])
-                length.append(length[p] + 1)
-                while p >= 0 and edges[p].get(symbol) == q:
-                    edges[p][symbol] = clone
-                    p = link[p]
-                link[q] = link[state] = clone
-        ends.append(state)
         last = state
-    links, lengths, at = np.array(link), np.array(length), np.array(ends)
+        while p >= 0:
+            out = edges[p]
+            if symbol in out:
+                break
+            out[symbol] = state
+            p = link[p]
+        else:
+            continue
+        q = out[symbol]
+        if length[p] + 1 == length[q]:
+            link[state] = q
+            continue
+        clone = len(edges)
+        edges.append(edges[q].copy())
+        link.append(link[q])
+        length.append(length[p] + 1)
+        while p >= 0 and edges[p].get(symbol) == q:
+            edges[p][symbol] = clone
+            p = link[p]
+        link[q] = link[state] = clone
+    links, lengths, at = np.array(link), np.array(length), np.arange(1, n + 1)
     # a state to which another links has more than one end position
     shared = np.zeros(len(links), dtype=bool)
     shared[links[1:]] = True
@@ -134,14 +134,19 @@ def features(text: str, common: frozenset[str]) -> list[tuple]:
                 content += c
                 kinds += 1
         part = text[s:e]
-        reference = bool(
-            LEADER.search(part) or len(REFERENCE.findall(part)) * 3 >= max(n, 1) or len(ENTRY.findall(part)) * 110 >= len(part)
+        digits = DIGIT.search(part) is not None
+        reference = digits and bool(
+            LEADER.search(part)
+            or len(REFERENCE.findall(part)) * 3 >= max(n, 1)
+            or (DIGITS.search(part) is not None and len(ENTRY.findall(part)) * 110 >= len(part))
         )
         bars = len(BAR.findall(part))
+        linked = "://" in part or "](" in part or "href" in part or "www." in part
         out.append(
             (
                 size, n, clause / max(n, 1), (inside[j] - inside[i]) / size,
-                sum(map(len, LINK.findall(part))) / len(part), sum(map(len, TAG.findall(part))) / len(part),
+                sum(map(len, LINK.findall(part))) / len(part) if linked else 0.0,
+                sum(map(len, TAG.findall(part))) / len(part) if "#" in part else 0.0,
                 len(SEPARATOR.findall(part)) / max(n, 1), bars / max(n, 1) if bars > 2 else 0.0,
                 (content - kinds) / content if content > 3 else 0.0, reference, not part.rstrip().endswith(CLOSED), s, e,
             )
