@@ -14,6 +14,7 @@ from quillspark.llm.neighbours import nearest, neighbour_pairs
 from quillspark.llm.packing import pack
 from quillspark.llm.quality import common_words, not_prose, text_statistics
 from quillspark.llm.repeated_lines import repeated_lines
+from quillspark.llm.scan_noise import find_noise, repair
 from quillspark.llm.spam import spam_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +89,15 @@ def p5_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     common = common_words(table(spark, sf_dir, "common_words"))
     return spam_pages(table(spark, sf_dir, "documents"), common).select("doc_id")
+
+
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common = common_words(table(spark, sf_dir, "common_words"))
+    return find_noise(table(spark, sf_dir, "chunks"), common)
+
+
+@query
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common = common_words(table(spark, sf_dir, "common_words"))
+    return repair(table(spark, sf_dir, "chunks"), common)
