@@ -1,10 +1,540 @@
-"""Registered queries of the core: name -> (spark, sf_dir) -> DataFrame, and their SQL."""
+"""Registered queries of the core: name -> (spark, sf_dir) -> DataFrame, and their SQL.
+
+Every query reads its whole tables.  The SQL is written for the oracle on its own terms
+(unnested lines, windows, as-of join), not as a copy of the expressions.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.functions import patterns as P
+from quillspark.functions import text as T
+from quillspark.operators import chapters, chunking, cleaning, indexing, quality, retrieval, tagging
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLE[function.__name__] = sql
+        return function
+
+    return add
+
+
+# Pieces of SQL ------------------------------------------------------------------------------------------
+
+
+def q(text: str) -> str:
+    """A SQL string."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+def sub(expr: str, pattern: str, to: str = "") -> str:
+    return f"regexp_replace({expr}, {q(pattern)}, {to if to.startswith('chr(') else q(to)}, 'g')"
+
+
+def strip(expr: str) -> str:
+    return sub(expr, P.STRIP)
+
+
+def has(expr: str, pattern: str) -> str:
+    return f"regexp_matches({expr}, {q(pattern)})"
+
+
+NL = "chr(10)"
+
+
+def split(expr: str) -> str:
+    return f"string_split(coalesce({expr}, ''), {NL})"
+
+
+def squeeze(expr: str) -> str:
+    return f"regexp_replace({expr}, {q(chr(10) + '{3,}')}, {NL} || {NL}, 'g')"
+
+
+def strip_lines(expr: str) -> str:
+    return f"array_to_string(list_transform(string_split({expr}, {NL}), lambda z: {strip('z')}), {NL})"
+
+
+def blanks(expr: str) -> str:
+    return sub(expr, "[ \t]+", " ")
+
+
+def dehyphen(expr: str) -> str:
+    return sub(expr, rf"([\p{{L}}\p{{N}}_])-{P.S}*\n{P.S}*([\p{{L}}\p{{N}}_])", r"\1\2")
+
+
+def dashes(expr: str) -> str:
+    return f"translate({expr}, '—–', '--')"
+
+
+def ocr(expr: str) -> str:
+    t = f"replace(replace({expr}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    t = sub(t, rf"(?i)Copyrighted Material{P.S}*")
+    t = sub(t, rf"\bM{P.S}*\.{P.S}*D{P.S}*\.", "M.D.")
+    t = sub(t, rf"\bP{P.S}*h{P.S}*\.{P.S}*D{P.S}*\.", "Ph.D.")
+    for n in (5, 4):
+        t = sub(t, r"\b" + rf"{P.S}+".join(["([A-Z])"] * n) + r"\b", "".join(f"\\{i + 1}" for i in range(n)))
+    t = blanks(dehyphen(dashes(f"replace({t}, '…', '...')")))
+    t = f"regexp_replace({t}, {q(rf'\[PAGE{P.S}+[0-9]+\]')}, {NL}, 'g')"
+    t = f"replace({t}, '---CHAPTER BREAK---', {NL} || {NL})"
+    return squeeze(strip_lines(squeeze(t)))
+
+
+def footnotes(expr: str) -> str:
+    """The look-ahead said without one: numbers before a capital are hidden while the others go."""
+    t = sub(expr, "[¹²³⁴⁵⁶⁷⁸⁹⁰]+")
+    t = f"regexp_replace({t}, {q(rf'\[([0-9]+)\]({P.S}*[A-Z])')}, chr(1) || '\\1' || chr(2) || '\\2', 'g')"
+    return f"replace(replace({sub(t, '\\[[0-9]+\\]')}, chr(1), '['), chr(2), ']')"
+
+
+def front_of(source: str) -> str:
+    """CTEs that give ``fronted(doc_id, text)`` of ``source(doc_id, text)``."""
+    s = strip("x")
+    prose = (
+        f"length({s}) >= 80 AND {has(s, chr(92) + 'A[A-Z' + chr(34) + chr(39) + ']')} "
+        f"AND len(regexp_split_to_array({s}, {q(P.S + '+')})) >= 10 AND {has(s, '[,.]')} AND NOT ({s} = upper({s}) AND {s} <> lower({s}))"
+    )
+    return f"""
+    rows_ AS (SELECT doc_id, i - 1 AS i, ls[i] AS x, len(ls) AS n FROM
+        (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, {split('text')} AS ls FROM {source}))),
+    kinds AS (SELECT doc_id, i, CASE WHEN {has(s, P.FRONT_MATTER)} THEN 'front' WHEN {has(s, P.TOC_LINE)} THEN 'toc'
+        WHEN {prose} THEN 'prose' ELSE 'other' END AS k FROM rows_ WHERE {s} <> ''),
+    pairs AS (SELECT *, lag(k) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM kinds),
+    stops AS (SELECT doc_id, min(i) AS stop FROM kinds WHERE i > {cleaning.FRONT_LINES} AND k IN ('prose', 'other') GROUP BY doc_id),
+    seconds AS (SELECT doc_id, min(i) AS second FROM pairs LEFT JOIN stops USING (doc_id)
+        WHERE k = 'prose' AND p = 'prose' AND (stop IS NULL OR i <= stop) GROUP BY doc_id),
+    starts AS (SELECT s.doc_id, greatest(coalesce(max(k.i) FILTER (k.k = 'front' AND k.i < s.second), -1) + 1, s.second - 1) AS start
+        FROM seconds s JOIN kinds k USING (doc_id) GROUP BY s.doc_id, s.second),
+    fronted AS (SELECT r.doc_id, coalesce(string_agg(x, {NL} ORDER BY i) FILTER (i >= coalesce(start, 0)), '') AS text
+        FROM rows_ r LEFT JOIN starts USING (doc_id) GROUP BY r.doc_id)"""
+
+
+def back_of(source: str) -> str:
+    return f"""
+    brows AS (SELECT doc_id, i - 1 AS i, ls[i] AS x, len(ls) AS n FROM
+        (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, {split('text')} AS ls FROM {source}))),
+    tails AS (SELECT *, sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i DESC) - 1 AS tail FROM brows),
+    cuts AS (SELECT doc_id, max(i) AS cut FROM tails WHERE n >= {cleaning.BACK_LINES} AND i > floor(n * {cleaning.BACK_SHARE})
+        AND tail > {cleaning.BACK_CHARS} AND {has(strip('x'), P.BACK_HEADING)} GROUP BY doc_id),
+    backed AS (SELECT b.doc_id, coalesce(string_agg(x, {NL} ORDER BY i) FILTER (cut IS NULL OR i < cut), '') AS text
+        FROM brows b LEFT JOIN cuts USING (doc_id) GROUP BY b.doc_id)"""
+
+
+def without_headers(expr: str) -> str:
+    return f"array_to_string(list_filter(string_split({expr}, {NL}), lambda y: NOT {has(strip('y'), P.clean_header())}), {NL})"
+
+
+# Quality ------------------------------------------------------------------------------------------------
+
+_Q = f"""
+WITH base AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+parts AS (SELECT doc_id, t, list_filter(string_split(t, {NL}), lambda x: {strip('x')} <> '') AS v,
+    list_filter(string_split(t, {NL} || {NL}), lambda x: {strip('x')} <> '') AS p FROM base),
+nums AS (SELECT doc_id, t, length(t) AS chars, len(v) AS n, len(p) AS np,
+    list_sum(list_transform(p, lambda x: length(x)))::DOUBLE / nullif(len(p), 0) AS ap,
+    len(list_filter(v, lambda x: {has('x', P.QUALITY_TOC)})) AS toc,
+    len(list_filter(v, lambda x: {has(strip('x'), chr(92) + 'A[0-9]{1,4}' + chr(92) + 'z')})) AS num,
+    regexp_matches(lower(t)[1:2000], 'copyright|isbn|all rights reserved|library of congress') AS front,
+    len(list_filter(v, lambda x: length(x) > 60 AND {has('x', '[.!?]')}))::DOUBLE / nullif(len(v), 0) AS prose FROM parts),
+scored AS (SELECT doc_id, CASE WHEN n = 0 THEN 0 ELSE chars END AS chars, n AS lines, CASE WHEN n = 0 THEN 0 ELSE np END AS paragraphs,
+    CASE WHEN n = 0 THEN 0 ELSE floor(ap)::INT END AS avg_para_len,
+    CASE WHEN n = 0 THEN ['EMPTY FILE'] ELSE list_filter([
+        CASE WHEN n = 1 AND chars > 1000 THEN 'SINGLE LINE (no paragraphs)' END,
+        CASE WHEN ap > 5000 THEN 'Paragraphs too long (avg ' || round_even(ap, 0)::BIGINT || ' chars)' END,
+        CASE WHEN ap < 50 THEN 'Paragraphs too short (avg ' || round_even(ap, 0)::BIGINT || ' chars)' END,
+        CASE WHEN toc > 5 THEN 'TOC remnants (' || toc || ' lines)' END,
+        CASE WHEN num > 20 THEN 'Page numbers (' || num || ')' END,
+        CASE WHEN front THEN 'Front matter remnants' END,
+        CASE WHEN prose < 0.3 THEN 'Low prose ratio (' || round_even(prose * 100, 0)::INT || '%)' END], lambda x: x IS NOT NULL) END AS issues,
+    CASE WHEN n = 0 THEN 0 ELSE greatest(0, 100 - CASE WHEN n = 1 AND chars > 1000 THEN 50 ELSE 0 END - CASE WHEN ap > 5000 THEN 20 ELSE 0 END
+        - CASE WHEN ap < 50 THEN 10 ELSE 0 END - CASE WHEN toc > 5 THEN 10 ELSE 0 END - CASE WHEN num > 20 THEN 5 ELSE 0 END
+        - CASE WHEN front THEN 5 ELSE 0 END - CASE WHEN prose < 0.3 THEN 15 ELSE 0 END) END AS score FROM nums)
+"""
+
+
+@query(_Q + "SELECT doc_id, chars, lines, paragraphs, avg_para_len, array_to_string(issues, '; ') AS issues, score FROM scored")
+def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality.quality_scores(_table(spark, sf_dir, "documents"))
+    return scores.withColumn("issues", F.array_join("issues", "; "))
+
+
+@query(_Q + "SELECT count(*) AS files, coalesce(sum(chars), 0)::BIGINT AS chars, count(*) FILTER (score >= 70) AS good, round(avg(score), 6) AS avg_score FROM scored")
+def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_summary(quality.quality_scores(_table(spark, sf_dir, "documents")))
+
+
+@query(_Q + "SELECT issue, count(*) AS texts FROM (SELECT regexp_replace(unnest(issues), ' \\(.*', '') AS issue FROM scored) GROUP BY issue")
+def quality_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.issue_counts(quality.quality_scores(_table(spark, sf_dir, "documents")))
+
+
+# Cleaning -----------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, {ocr('text')} AS text FROM documents")
+def ocr_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", T.normalize_ocr(F.col("text")).alias("text"))
+
+
+@query(f"SELECT doc_id, {strip_lines(blanks(sub(dashes(dehyphen('text')), '[\\x{0}-\\x{8}\\x{b}\\x{c}\\x{e}-\\x{1f}]')))} AS text FROM documents")
+def page_text_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", T.clean_extracted(F.col("text")).alias("text"))
+
+
+@query(f"SELECT doc_id, {footnotes('text')} AS text FROM documents")
+def footnotes_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", T.drop_footnote_marks(F.col("text")).alias("text"))
+
+
+def _count(test: str) -> str:
+    return f"len(list_filter(l, lambda x: {test}))"
+
+
+_SX = strip("x")
+_PROSE = (
+    f"length({_SX}) >= 80 AND {has(_SX, chr(92) + 'A[A-Z' + chr(34) + chr(39) + ']')} AND len(regexp_split_to_array({_SX}, {q(P.S + '+')})) >= 10 "
+    f"AND {has(_SX, '[,.]')} AND NOT ({_SX} = upper({_SX}) AND {_SX} <> lower({_SX}))"
+)
+
+
+@query(
+    f"""SELECT doc_id, {_count(f"{_SX} = ''")} AS blank, {_count(has(_SX, P.clean_header()))} AS headers,
+    {_count(f"{_SX} <> '' AND {has(_SX, P.TOC_LINE)}")} AS toc, {_count(_PROSE)} AS prose, {_count(has(_SX, P.FRONT_MATTER))} AS front,
+    {_count(has(_SX, P.BACK_HEADING))} AS back,
+    {_count(f"({has(_SX, P.SECTION_TO_REMOVE)} OR {has(_SX, P.BY_SOMEBODY)}) AND NOT {has(_SX, P.author_content())}")} AS sections
+    FROM (SELECT doc_id, {split('text')} AS l FROM documents)"""
+)
+def line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.line_classes(_table(spark, sf_dir, "documents"))
+
+
+@query(f"WITH {front_of('documents')} SELECT doc_id, text FROM fronted")
+def front_matter_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.remove_front_matter(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(f"WITH {back_of('documents')} SELECT b.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE b.text END AS text FROM backed b JOIN documents d USING (doc_id)")
+def back_matter_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.remove_back_matter(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(f"""SELECT doc_id, {without_headers("coalesce(text, '')")} AS text FROM documents""")
+def headers_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", cleaning.drop_headers(F.col("text")).alias("text"))
+
+
+@query(
+    f"""WITH normal AS (SELECT doc_id, {ocr("coalesce(text, '')")} AS text FROM documents), {front_of('normal')}, {back_of('fronted')}
+    SELECT doc_id, {strip(squeeze(strip_lines(blanks(squeeze(footnotes(without_headers('text')))))))} AS text FROM backed"""
+)
+def documents_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.clean_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, i - 1 AS i, {strip('ls[i]')} AS s, len(ls) AS n FROM
+        (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, {split('text')} AS ls FROM documents))),
+    flags AS (SELECT *, {has('s', P.SECTION_END)} OR {has('s', P.author_content())} AS e,
+        ({has('s', P.SECTION_TO_REMOVE)} OR {has('s', P.BY_SOMEBODY)}) AND NOT {has('s', P.author_content())} AS b FROM l),
+    ends AS (SELECT *, min(CASE WHEN e THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM flags)
+    SELECT doc_id, i::INT AS start_line, end_line::INT AS end_line, s AS heading FROM (SELECT doc_id, i, s, coalesce(nx, n) AS end_line,
+        row_number() OVER (PARTITION BY doc_id, coalesce(nx, n) ORDER BY i) AS r FROM ends WHERE b) WHERE r = 1"""
+)
+def removable_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.removable_sections(_table(spark, sf_dir, "documents"))
+
+
+# Paragraphs and sentences -------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, i, ls[i] AS x, {strip('ls[i]')} AS s FROM
+        (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, {split('text')} AS ls FROM documents))),
+    b AS (SELECT *, coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY i), '') AS before FROM l),
+    g AS (SELECT *, sum(CASE WHEN before = '' OR ({has('before', '[.!?:"]' + chr(92) + 'z')} AND {has('s', chr(92) + 'A' + chr(92) + 'p{Lu}')})
+        OR {has('x', chr(92) + 'A(?:   |' + chr(92) + 't)')} OR {has('s', P.HEADING_START)} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS para
+        FROM b WHERE s <> ''),
+    p AS (SELECT doc_id, para, string_agg(s, ' ' ORDER BY i) AS t FROM g GROUP BY doc_id, para)
+    SELECT d.doc_id, coalesce(string_agg(t, {NL} || {NL} ORDER BY para), '') AS text FROM documents d LEFT JOIN p USING (doc_id) GROUP BY d.doc_id"""
+)
+def lines_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", T.merge_lines(T.lines(F.col("text"))).alias("text"))
+
+
+_PARAS = f"""list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), {q(chr(92) + 'n' + P.S + '*' + chr(92) + 'n')}), lambda x: {_SX}), lambda x: x <> '')"""
+
+
+@query(f"SELECT doc_id, (i - 1)::INT AS n, ps[i] AS paragraph FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, {_PARAS} AS ps FROM documents))")
+def paragraphs_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _table(spark, sf_dir, "documents")
+    return df.select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("n", "paragraph"))
+
+
+def _sentences_sql() -> str:
+    t = f"regexp_replace(text, {q(rf'\b({P.ABBREVIATIONS})\.{P.S}+')}, '\\1' || chr(1) || ' ', 'g')"
+    t = f"regexp_replace({t}, {q(rf'\b([A-Z])\.{P.S}+([A-Z])\.{P.S}+')}, '\\1' || chr(1) || ' \\2' || chr(1) || ' ', 'g')"
+    t = f"regexp_replace({t}, {q(rf'\b(CW|cw){P.S}+([0-9])')}, '\\1' || chr(1) || '\\2', 'g')"
+    t = f"""regexp_replace({t}, {q('([.!?])' + P.S + '+([A-Z"' + chr(39) + '])')}, '\\1' || chr(2) || '\\2', 'g')"""
+    return f"list_filter(list_transform(string_split({t}, chr(2)), lambda x: {strip('replace(x, chr(1), chr(46))')}), lambda x: x <> '')"
+
+
+@query(f"SELECT doc_id, (i - 1)::INT AS n, ss[i] AS sentence FROM (SELECT doc_id, ss, unnest(range(1, len(ss) + 1)) AS i FROM (SELECT doc_id, {_sentences_sql()} AS ss FROM documents WHERE text IS NOT NULL))")
+def sentences_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _table(spark, sf_dir, "documents")
+    return df.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("n", "sentence"))
+
+
+@query(
+    f"""SELECT DISTINCT id FROM chunks WHERE len(regexp_split_to_array({strip('text')}, {q(P.S + '+')})) >= 10
+    AND len(regexp_extract_all(text, {q(P.PAGE_REFERENCE)})) > 0.15 * len(regexp_split_to_array({strip('text')}, {q(P.S + '+')}))"""
+)
+def index_like_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "chunks").where(T.is_index_like(F.col("text"))).select("id").distinct()
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), {q(P.TOKEN)}))::INT AS tokens, len(string_split(coalesce(text, ''), {NL} || {NL}))::INT AS paragraphs, length(coalesce(text, ''))::INT AS chars FROM documents")
+def text_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.coalesce(F.col("text"), F.lit(""))
+    return _table(spark, sf_dir, "documents").select(
+        "doc_id", T.count_tokens(t).alias("tokens"), F.size(F.split(t, "\n\n", -1)).alias("paragraphs"), F.length(t).alias("chars")
+    )
+
+
+# Titles, chapters, concepts -----------------------------------------------------------------------------
+
+
+def _title_sql() -> str:
+    name = "regexp_replace(source_file, '(.)\\.[^.]*$', '\\1')"
+    title = f"regexp_replace({name}, {q(rf'^\([^)]+\){P.S}*')}, '')"
+    part = f"CASE WHEN len(string_split({title}, ' - ')) >= 2 THEN string_split({title}, ' - ')[2] ELSE {title} END"
+    plain = strip(sub(f"regexp_replace(replace({part}, '_', ' '), {q(rf'{P.S}*\([0-9]{{4}}\){P.S}*$')}, '')", P.S + "+", " "))
+    return f"""SELECT source_file, year, volume, CASE WHEN year IS NOT NULL AND NOT regexp_matches(t, '\\([0-9]{{4}}') THEN t || ' (' || year || ')' ELSE t END AS title
+    FROM (SELECT source_file, list_last(regexp_extract_all({name}, '\\(([0-9]{{4}})\\)', 1)) AS year,
+    nullif(regexp_extract({name}, {q(rf'(?i)Volume{P.S}*([0-9]+)')}, 1), '') AS volume, {plain} AS t FROM epub_metadata)"""
+
+
+@query(_title_sql())
+def title_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _table(spark, sf_dir, "epub_metadata").select("source_file", T.work_metadata(F.col("source_file")).alias("m"))
+    return df.select("source_file", "m.year", "m.volume", "m.title")
+
+
+@query(
+    """SELECT m.source_file, arg_min(l.concept, l.ordinal) AS title FROM epub_metadata m
+    LEFT JOIN lexicon l ON contains(lower(m.source_file), lower(l.concept)) GROUP BY m.source_file"""
+)
+def lexicon_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexicon = tagging.read_lexicon(_table(spark, sf_dir, "lexicon"), "ordinal", "concept", "concept")
+    return _table(spark, sf_dir, "epub_metadata").select("source_file", tagging.lexicon_title(F.col("source_file"), lexicon).alias("title"))
+
+
+@query(
+    # letters beyond ASCII as x: there a word's bound is a matter of ASCII letters only
+    r"""WITH c AS (SELECT id, regexp_replace(replace(any_value(text), 'ſ', 's'), '[\x{c0}-\x{24f}]', 'x', 'g') AS text FROM chunks GROUP BY id)
+    SELECT c.id, coalesce(string_agg(l.concept, ',' ORDER BY l.ordinal), '') AS concepts FROM c
+    LEFT JOIN lexicon l ON regexp_matches(c.text, '(?i)' || l.pattern) GROUP BY c.id"""
+)
+def concept_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexicon = tagging.read_lexicon(_table(spark, sf_dir, "lexicon"), "ordinal", "concept", "pattern")
+    tags = F.array_join(tagging.concept_tags(F.col("text"), lexicon), ",")
+    return _table(spark, sf_dir, "chunks").select("id", tags.alias("concepts")).distinct()
+
+
+@query(
+    """WITH c AS (SELECT id, min(source_file) AS source_file, min(chunk_index) AS chunk_index, any_value(concepts) AS concepts FROM chunks GROUP BY id),
+    e AS (SELECT source_file, chunk_index, i, concepts[i] AS concept FROM (SELECT *, unnest(range(1, len(concepts) + 1)) AS i FROM c))
+    SELECT concept, count(*) AS n FROM e GROUP BY concept ORDER BY n DESC, min((source_file, chunk_index, i)), concept LIMIT 15"""
+)
+def top_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _table(spark, sf_dir, "chunks").select("id", "source_file", "chunk_index", "concepts").dropDuplicates(["id"])
+    return tagging.top_concepts(chunks)
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT id, lower(text) AS t FROM chunks WHERE text IS NOT NULL),
+    r AS (SELECT id, l.concept, row_number() OVER (PARTITION BY id ORDER BY l.ordinal) AS n FROM c JOIN lexicon l ON contains(t, lower(l.concept)) AND length(l.concept) > 4)
+    SELECT c.id, coalesce(string_agg(upper(concept[1]) || concept[2:], ',' ORDER BY n), '') AS related FROM c LEFT JOIN r ON c.id = r.id AND n <= 4 GROUP BY c.id"""
+)
+def related_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = [t for _, t in tagging.read_lexicon(_table(spark, sf_dir, "lexicon"), "ordinal", "concept")]
+    chunks = _table(spark, sf_dir, "chunks").where(F.col("text").isNotNull())
+    return chunks.select("id", F.array_join(tagging.related_concepts(F.col("text"), terms), ",").alias("related")).distinct()
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT id, source_file, start_char FROM chunks),
+    m AS (SELECT source_file, char_index, type || CASE WHEN number <> '' THEN ' ' || number ELSE '' END || CASE WHEN title <> '' THEN ': ' || title ELSE '' END AS label
+        FROM (SELECT *, row_number() OVER (PARTITION BY source_file, char_index ORDER BY type DESC, number DESC, title DESC) AS r FROM markers) WHERE r = 1)
+    SELECT c.id, c.source_file, c.start_char, m.label AS chapter FROM c ASOF LEFT JOIN m ON c.source_file = m.source_file AND c.start_char >= m.char_index"""
+)
+def chapter_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    positions = _table(spark, sf_dir, "chunks").select("id", "source_file", "start_char").distinct()
+    return chapters.chapter_asof(positions, _table(spark, sf_dir, "markers"))
+
+
+def _display_sql(c: str) -> str:
+    t = sub(strip(c), P.S + "+", " ")
+    t = f"regexp_replace({t}, {q(rf'(?i)\A(?:chapter|ch\.?|section){P.S}*')}, 'Ch. ')"
+    t = f"regexp_replace({t}, {q(rf'(?i)\A(?:part){P.S}*')}, 'Part ')"
+    t = f"CASE WHEN regexp_full_match({t}, '[0-9]+') THEN 'Ch. ' || {t} ELSE {t} END"
+    return f"CASE WHEN {c} <> '' THEN CASE WHEN length({t}) > 60 THEN left({t}, 57) || '...' ELSE {t} END END"
+
+
+@query(f"SELECT DISTINCT id, chapter, {_display_sql('chapter')} AS shown FROM chunks")
+def chapter_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "chunks").select("id", "chapter", T.display_chapter(F.col("chapter")).alias("shown")).distinct()
+
+
+@query(
+    f"""WITH c AS (SELECT id, any_value(source_file) AS source_file, any_value(text) AS text FROM chunks WHERE text IS NOT NULL GROUP BY id),
+    l AS (SELECT id, lower(source_file) AS f, i, ls[i] AS x, {strip('ls[i]')} AS s FROM
+        (SELECT id, source_file, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT id, source_file, string_split(text, {NL}) AS ls FROM c))),
+    o AS (SELECT *, (sum(length(x) + 1) OVER (PARTITION BY id ORDER BY i) - length(x) - 1)::INT AS char_index,
+        {has('s', P.STANDARD_MARKER)} AS st, {has('s', P.SEMINAR_MARKER)} AS se, {has('s', P.LETTER_MARKER)} AS le,
+        {has('s', P.ESSAY_MARKER)} AND NOT {has('s', P.ESSAY_EXCLUDED)} AS es, contains(f, 'letters') OR contains(f, 'correspondence') AS il,
+        contains(f, 'collected works') AS iw FROM l),
+    w AS (SELECT *, min(CASE WHEN st OR se OR (il AND le) OR (iw AND es AND length(s) > 10) THEN i END) OVER (PARTITION BY id) AS first FROM o)
+    SELECT id, char_index, CASE WHEN st THEN upper(h[1]) || lower(h[2:]) WHEN se THEN 'Seminar' WHEN le AND (il OR i > first) THEN 'Letter' ELSE 'Essay' END AS type,
+        CASE WHEN st THEN regexp_extract(s, {q(P.STANDARD_MARKER)}, 2) WHEN se THEN regexp_extract(s, {q(P.SEMINAR_MARKER)}, 2) ELSE '' END AS number,
+        CASE WHEN st THEN {strip(f'regexp_extract(s, {q(P.STANDARD_MARKER)}, 3)')} WHEN se THEN {strip(f'regexp_extract(s, {q(P.SEMINAR_MARKER)}, 3)')}
+            WHEN le AND (il OR i > first) THEN s ELSE array_to_string(list_transform(string_split(s, ' '), lambda y: upper(y[1]) || lower(y[2:])), ' ') END AS title
+    FROM (SELECT *, regexp_extract(s, {q(P.STANDARD_MARKER)}, 1) AS h FROM w)
+    WHERE i >= first AND (st OR se OR (le AND (il OR i > first)) OR (es AND (iw OR i > first)))"""
+)
+def chapter_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _table(spark, sf_dir, "chunks").where(F.col("text").isNotNull()).select("id", "source_file", "text")
+    return chapters.find_markers(chunks).distinct()
+
+
+# Chunks -------------------------------------------------------------------------------------------------
+
+
+@query()
+def chunks_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexicon = tagging.read_lexicon(_table(spark, sf_dir, "lexicon"), "ordinal", "concept", "pattern")
+    named = _table(spark, sf_dir, "documents").withColumn("source_file", F.coalesce("source_file", F.col("doc_id").cast("string")))
+    return chunking.pack_chunks(named, lexicon=lexicon)
+
+
+@query(
+    """WITH r AS (SELECT DISTINCT id, source_file, chunk_index FROM chunks), t AS (SELECT source_file, count(*)::INT AS total_chunks FROM r GROUP BY source_file)
+    SELECT r.id, r.source_file, r.chunk_index, p.id AS prev_chunk_id, n.id AS next_chunk_id, t.total_chunks FROM r
+    LEFT JOIN r p ON p.source_file = r.source_file AND p.chunk_index = r.chunk_index - 1
+    LEFT JOIN r n ON n.source_file = r.source_file AND n.chunk_index = r.chunk_index + 1 LEFT JOIN t ON t.source_file = r.source_file"""
+)
+def chunk_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.neighbour_links(_table(spark, sf_dir, "chunks"))
+
+
+@query(
+    """SELECT source_file, count(*) AS chunks, round(avg(token_count), 6) AS avg_tokens, count(*) FILTER (len(concepts) > 0) AS with_concepts,
+    count(*) FILTER (coalesce(chapter, '') <> '') AS with_chapter FROM chunks GROUP BY source_file"""
+)
+def chunk_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk_statistics(_table(spark, sf_dir, "chunks"))
+
+
+@query("SELECT id, substr(md5(source_file || ':' || start_char || ':' || end_char || ':' || chunk_index), 1, 16) AS made FROM (SELECT DISTINCT id, source_file, start_char, end_char, chunk_index FROM chunks)")
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "chunks").select("id", "source_file", "start_char", "end_char", "chunk_index").distinct()
+    name = F.concat(*[x for c in ("source_file", "start_char", "end_char", "chunk_index") for x in (F.col(c).cast("string"), F.lit(":"))][:-1])
+    return rows.select("id", F.substring(F.md5(name), 1, 16).alias("made"))
+
+
+# The vector table ---------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT id, source_file, chunk_index, ingested_at FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) AS n FROM chunks) WHERE n = 1"""
+)
+def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _table(spark, sf_dir, "chunks").select("id", "source_file", "chunk_index", "ingested_at")
+    return indexing.upsert(chunks.limit(0), chunks, version="ingested_at")
+
+
+@query(
+    """SELECT DISTINCT id, left(text, 8000) AS text, source_file, work_title, chunk_index, total_chunks, left(nullif(chapter, ''), 200) AS chapter, start_char, end_char FROM chunks"""
+)
+def vector_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexing.vector_records(_table(spark, sf_dir, "chunks")).select("id", "metadata.*").distinct()
+
+
+@query(
+    """SELECT b AS batch, count(*) AS rows, min(id) AS first_id, max(id) AS last_id FROM
+    (SELECT id, ((row_number() OVER (ORDER BY id) - 1) // 50 + 1)::INT AS b FROM (SELECT DISTINCT id FROM vectors)) GROUP BY b"""
+)
+def upload_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = _table(spark, sf_dir, "vectors").select("id").distinct()
+    return indexing.batch_sizes(indexing.numbered_batches(ids))
+
+
+@query("SELECT coalesce(len(\"values\"), -1)::INT AS dimension, count(*) AS vectors FROM vectors GROUP BY 1")
+def index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexing.index_statistics(_table(spark, sf_dir, "vectors"))
+
+
+# Retrieval ----------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
+    SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, list_cosine_similarity(a.v, b.v) AS score,
+    (row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.vec_id))::INT AS rank FROM e a, e b WHERE a.vec_id % 50 = 0) WHERE rank <= 6"""
+)
+def top_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    asked = rows.where(F.col("vec_id") % 50 == 0)
+    dim = 64
+    hits = retrieval.top_similar(asked, rows, dim, query_id="vec_id", query_values="embedding", row_id="vec_id", row_values="embedding")
+    return hits.withColumn("score", F.round("score", 6))
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Queries (ids divisible by 50, read as hexadecimal numbers) and their relevant hits with their fields."""
+    rows = _table(spark, sf_dir, "vectors").where(F.size("values") == 128)
+    once = rows.groupBy("id").agg(F.first("values").alias("values"))
+    asked = once.where(F.conv(F.substring("id", 9, 8), 16, 10).cast("long") % 50 == 0).withColumnRenamed("id", "query_id")
+    hits = retrieval.relevant(retrieval.top_similar(asked, once, 128))
+    fields = rows.select("id", "metadata.work_title", "metadata.chapter", "metadata.text").dropDuplicates(["id"])
+    return asked, retrieval.hit_fields(hits.join(fields, "id"))
+
+
+_HITS = f"""WITH v AS (SELECT id, any_value("values")::DOUBLE[] AS v, any_value(metadata) AS m FROM vectors WHERE len("values") = 128 AND list_sum(list_transform("values", lambda x: abs(x))) > 0 GROUP BY id),
+a AS (SELECT id AS query_id, v FROM v WHERE ('0x' || substr(id, 9, 8))::BIGINT % 50 = 0),
+s AS (SELECT query_id, id, m, list_cosine_similarity(a.v, v.v) AS score FROM a, v),
+r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INT AS rank FROM s),
+h AS (SELECT query_id, id, rank, score, coalesce(nullif(m.work_title, ''), 'Unknown') AS work_title, nullif(m.chapter, '') AS chapter, coalesce(m.text, '') AS text FROM r WHERE rank <= 3 AND score > 0.7)
+"""
+
+
+@query(_HITS + "SELECT query_id, rank, id, round(score, 6) AS score, work_title, chapter FROM h")
+def relevant_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, hits = _hits(spark, sf_dir)
+    return hits.select("query_id", "rank", "id", F.round("score", 6).alias("score"), "work_title", "chapter")
+
+
+_CITE = "'[' || rank || '] ' || work_title || CASE WHEN chapter IS NOT NULL THEN ', ' || chapter ELSE '' END"
+
+
+@query(
+    _HITS
+    + f"""SELECT query_id, hits, context, citations, {q(retrieval.RULES + chr(10) + chr(10))} || CASE WHEN hits > 0 THEN 'Sources:' || chr(10) || context ELSE {q(retrieval.NO_SOURCES)} END AS system
+    FROM (SELECT a.query_id, count(h.rank)::INT AS hits, coalesce(string_agg({_CITE} || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank), '') AS context,
+    coalesce(string_agg({_CITE}, chr(10) ORDER BY rank), '') AS citations FROM a LEFT JOIN h USING (query_id) GROUP BY a.query_id)"""
+)
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, hits = _hits(spark, sf_dir)
+    return retrieval.prompts(hits, asked)
