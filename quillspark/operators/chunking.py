@@ -98,7 +98,7 @@ def pack_chunks(
     token_count: Callable[[Column], Column] = count_tokens,
     memoir_chapters: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row for each chunk, with ``key`` and the columns of the chunk table.
+    """One row for each chunk, with ``key`` (unless it is the source file itself) and the columns of the chunk table.
 
     Boundaries: a chapter's change, or a paragraph that would pass the target.  A paragraph over the maximum is packed by
     sentences; a single longer sentence stays whole.  Index-like paragraphs are left out; so are chunks under the
@@ -156,7 +156,7 @@ def pack_chunks(
     out = df.select("key", "source_file", "kept", "ids", F.posexplode_outer("kept").alias("n", "x")).where(F.col("n").isNotNull())
     content = F.col("x.c.text")
     return out.select(
-        F.col("key").alias(key),
+        *([F.col("key").alias(key)] if key != "source_file" else []),
         F.get("ids", F.col("n")).alias("id"),
         content.alias("text"),
         "source_file",

@@ -15,7 +15,7 @@ from quillspark.staging import written
 
 def texts_to_chunks(texts: DataFrame, lexicon: list[tuple[int, str, str]] | None = None, author: Author | None = None) -> DataFrame:
     """``source_file, text`` to chunks: a narrow map of whole documents, without a shuffle."""
-    return pack_chunks(clean_documents(texts, author=author), key="source_file", lexicon=lexicon).drop("key")
+    return pack_chunks(clean_documents(texts, author=author), key="source_file", lexicon=lexicon)
 
 
 def chunks_to_vectors(chunks: DataFrame, embed: Embedder) -> tuple[DataFrame, DataFrame]:
