@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import written
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
-BANDS, BAND_ROWS, BITS = 36, 3, 128
+BANDS, BAND_ROWS, BITS = 44, 3, 128
 #: Texts of one band key that are held in one tree.
 SHARD_ROWS = 4_096
 #: Word hashes and classes that a worker remembers; emptied when full.
@@ -394,3 +394,38 @@ def expanded(found: ClassPairs) -> DataFrame:
     inside = copies.select("class", F.col("id").alias("x")).join(copies.select("class", F.col("id").alias("y")), "class")
     pairs = across.where("x <> y").unionByName(inside.where("x < y").select("x", "y"))
     return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+
+
+def groups(found: ClassPairs, most_rounds: int = 60) -> DataFrame:
+    """``id, class, group, links``: each id's class, the least class of its connected group, and its number of links.
+
+    Links are to other classes and to other ids of its own class. Labels spread by minimum over the links and through the
+    labels themselves (a class takes its label's label), so rounds grow with the logarithm of a chain's length. Each round is
+    two joins and a pre-aggregated minimum, written in the shared folder; only a count comes to the driver.
+    """
+    both = found.pairs.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+    links = written(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-links")
+    labels = written(links.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct(), "near-labels")
+    for _ in range(most_rounds):
+        near = links.join(labels, links["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("least"))
+        spread = labels.join(near, labels["node"] == near["a"], "left").select(
+            "node", "label", F.least("label", F.coalesce("least", "label")).alias("next")
+        )
+        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("far"))
+        moved = spread.join(jump, spread["next"] == jump["at"], "left").select(
+            "node", F.least("next", F.coalesce("far", "next")).alias("label"), (F.least("next", F.coalesce("far", "next")) != F.col("label")).alias("new")
+        )
+        moved = written(moved, "near-labels")
+        labels = moved.select("node", "label")
+        if moved.where("new").limit(1).count() == 0:
+            break
+    else:
+        raise RuntimeError("the groups did not settle")
+    sizes = found.members.groupBy("class").agg(F.count("*").alias("n"))
+    degree = links.join(sizes, links["b"] == sizes["class"]).groupBy("a").agg(F.sum("n").alias("across"))
+    per_class = (
+        sizes.join(labels, sizes["class"] == labels["node"], "left")
+        .join(degree, sizes["class"] == degree["a"], "left")
+        .select("class", F.coalesce("label", "class").alias("group"), (F.col("n") - 1 + F.coalesce("across", F.lit(0))).alias("links"))
+    )
+    return found.members.join(per_class, "class").select("id", "class", "group", "links")

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.bpe import count_tokens, encode_column
-from quillspark.llm.common import ship, table
-from quillspark.llm.near_duplicates import expanded, similar_pairs
+from quillspark.llm.common import ship, table, written
+from quillspark.llm.near_duplicates import expanded, groups, similar_pairs
 from quillspark.llm.neighbours import nearest, neighbour_pairs
 from quillspark.llm.packing import pack
 from quillspark.llm.quality import common_words, not_prose, text_statistics
-from quillspark.llm.repeated_lines import repeated_lines
+from quillspark.llm.repeated_lines import repeated_lines, without_lines
 from quillspark.llm.scan_noise import find_noise, repair
 from quillspark.llm.spam import spam_pages
 
@@ -53,13 +53,14 @@ def p7_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _deliveries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The first load of chunks and the rows that arrived later: over a week after their file began to arrive."""
+    """The first load of chunks, and the partition that came after it: over a week after the last file began to arrive.
+
+    One time divides the rows, so no row is moved for it; rows without a time count as first deliveries.
+    """
     chunks = table(spark, sf_dir, "chunks")
-    begun = chunks.groupBy("source_file").agg(F.min("ingested_at").alias("begun"))
-    # one row a source file; null files and times count as first deliveries
-    dated = chunks.join(begun.withColumnRenamed("source_file", "_file"), F.col("source_file").eqNullSafe(F.col("_file")))
-    late = F.coalesce(F.col("ingested_at") > F.col("begun") + F.expr("interval 7 days"), F.lit(False))
-    return dated.where(~late), dated.where(late)
+    begun = chunks.groupBy("source_file").agg(F.min("ingested_at").alias("begun")).agg(F.max("begun")).first()[0]
+    late = F.coalesce(F.col("ingested_at") > F.lit(begun) + F.expr("interval 7 days"), F.lit(False))
+    return chunks.where(~late), chunks.where(late)
 
 
 @query
@@ -101,3 +102,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     common = common_words(table(spark, sf_dir, "common_words"))
     return repair(table(spark, sf_dir, "chunks"), common)
+
+
+@query
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups(similar_pairs(table(spark, sf_dir, "chunks"), width=3, threshold=0.5))
+
+
+@query
+def p4_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, late = _deliveries(spark, sf_dir)
+    return without_lines(table(spark, sf_dir, "chunks"), written(repeated_lines(first, [late]), "line-places"))

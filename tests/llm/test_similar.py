@@ -135,3 +135,17 @@ def test_hot_shards_are_divided(spark):
 def test_near_duplicates_of_nothing(spark):
     empty = spark.createDataFrame([], "id string, text string")
     assert near_duplicates.expanded(near_duplicates.similar_pairs(empty)).count() == 0
+
+
+def test_groups(spark):
+    """A chain of texts, each like the next only, is one group; copies count as links."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(f"c{i}", " ".join(words[i * 12 : i * 12 + 60])) for i in range(14)]
+    rows += [("copy", rows[0][1]), ("alone", " ".join(f"z{i}" for i in range(60))), ("null", None), ("c3", rows[3][1])]
+    df = spark.createDataFrame(rows, "id string, text string")
+    got = {r.id: r for r in near_duplicates.groups(near_duplicates.similar_pairs(df, width=3, threshold=0.5)).collect()}
+    unique = dict(r for r in rows if r[1])
+    assert set(got) == set(unique)
+    assert len({got[f"c{i}"].group for i in range(14)} | {got["copy"].group}) == 1 and got["alone"].group != got["c0"].group
+    for i, text in unique.items():
+        assert got[i].links == sum(jaccard(text, t, 3) >= 0.5 for j, t in unique.items() if j != i)
