@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from quillspark.staging import written  # noqa: F401
 
 _SHIPPED: set[str] = set()
 
@@ -28,27 +27,5 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a new temporary one where that is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table written once in the shared folder: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex[:12]}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def words_of(text: str = "text"):
-    """Runs of letters and digits of any script, lower-cased, as an array column."""
-    return F.expr(f"regexp_extract_all(lower({text}), '[\\\\p{{L}}\\\\p{{N}}]+', 0)")

@@ -7,14 +7,16 @@ space that some sequence has, and each sequence carries a bitmap of the sources
 and one of the duplicate clusters that it holds.  An item goes to the tightest
 sequence in which it fits and meets neither a copy of itself nor its own
 source; the search steps from each amount of free space to the next larger one
-until such a sequence is found.  Where there is none, the tightest sequence
-without a copy is taken (``source_rule="prefer"``) or a new one opened
-(``"strict"``).
+until such a sequence is found.  Where there is none, a new sequence is opened
+while the shard's items need more anyway; beyond that space goes first: the item
+joins the tightest sequence without a copy of it, else the tightest at all.
+``source_rule`` and ``cluster_rule`` as ``"strict"`` open a new sequence instead;
+then a third of all rows being copies costs as many sequences as there are copies.
 
 Sequences that a shard leaves with more than ``slack`` free are opened again
-and their items packed with those of other shards, round by round over a
-shrinking number of shards, until one shard holds what is left; so the space
-lost does not grow with the number of shards.
+and their items packed with those of other shards, round by round, while what is
+left fits in fewer shards of the same bounded size; so the space lost does not
+grow with the number of shards.
 
 Results: an item longer than the capacity is cut into full pieces and a rest;
 nothing else is split.  Items of size 0 (null and empty texts) take a place in
@@ -36,10 +38,14 @@ SHARD_ITEMS = 8_192
 
 
 class Shard:
-    """Open sequences by free space, with their source and cluster bitmaps."""
+    """Open sequences by free space, with their source and cluster bitmaps.
 
-    def __init__(self, capacity: int, source_rule: str = "prefer"):
-        self.capacity, self.source_rule = capacity, source_rule
+    ``needed`` is how many sequences the shard's items take at least: while fewer are open, a new one costs no space.
+    """
+
+    def __init__(self, capacity: int, needed: int = 0, source_rule: str = "prefer", cluster_rule: str = "prefer"):
+        self.capacity, self.needed = capacity, needed
+        self.share_source, self.share_cluster = source_rule != "strict", cluster_rule != "strict"
         self.free_bits = 0
         self.by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
         self.sources: list[int] = []
@@ -52,28 +58,27 @@ class Shard:
         self.free.append(self.capacity)
         return len(self.free) - 1
 
-    def place(self, size: int, source: int, cluster: int) -> tuple[int, int]:
-        """The sequence that takes the item, and where in it; the bitmaps of one bit are 0 where nothing conflicts."""
-        second = -1
-        rest = self.free_bits >> size
-        at = size
-        chosen = -1
+    def _tightest(self, size: int, source: int, cluster: int) -> int:
+        """The tightest sequence with room that meets neither; -1 where there is none."""
+        rest, at = self.free_bits >> size, size
         while rest:
             step = (rest & -rest).bit_length() - 1
             at += step
             for b in self.by_free[at]:
-                if not self.clusters[b] & cluster:
-                    if not self.sources[b] & source:
-                        chosen = b
-                        break
-                    if second < 0:
-                        second = b
-            if chosen >= 0:
-                break
+                if not self.clusters[b] & cluster and not self.sources[b] & source:
+                    return b
             rest >>= step + 1
             at += 1
-        if chosen < 0 and self.source_rule == "prefer":
-            chosen = second
+        return -1
+
+    def place(self, size: int, source: int, cluster: int) -> tuple[int, int]:
+        """The sequence that takes the item, and where in it; the bitmaps of one bit are 0 where nothing conflicts."""
+        chosen = self._tightest(size, source, cluster)
+        if chosen < 0 and len(self.free) >= self.needed:
+            if self.share_source and source:
+                chosen = self._tightest(size, 0, cluster)
+            if chosen < 0 and self.share_cluster and cluster:
+                chosen = self._tightest(size, 0 if self.share_source else source, 0)
         if chosen < 0:
             chosen = self._open()
         else:
@@ -95,9 +100,9 @@ def _bits(values: pd.Series) -> list[int]:
     return [0 if c < 0 else 1 << int(c) for c in codes]
 
 
-def _pack_shard(pdf: pd.DataFrame, capacity: int, source_rule: str) -> pd.DataFrame:
+def _pack_shard(pdf: pd.DataFrame, capacity: int, *rules: str) -> pd.DataFrame:
     pdf = pdf.sort_values(["size", "key", "piece"], ascending=[False, True, True], kind="stable")
-    shard = Shard(capacity, source_rule)
+    shard = Shard(capacity, -(-int(pdf["size"].sum()) // capacity), *rules)
     places = [shard.place(*x) for x in zip(pdf["size"].tolist(), _bits(pdf["source"]), _bits(pdf["cluster"]))]
     pdf = pdf.assign(seq=[b for b, _ in places], start=[at for _, at in places])
     return pdf.assign(free=[shard.free[b] for b in pdf["seq"]])
@@ -112,6 +117,7 @@ def pack(
     capacity: int = 2_048,
     slack: int = 16,
     source_rule: str = "prefer",
+    cluster_rule: str = "prefer",
     shard_items: int = SHARD_ITEMS,
 ) -> DataFrame:
     """``key, piece, sequence_id, start_token, n_tokens``: where each item, or each piece of a long one, lies."""
@@ -139,10 +145,10 @@ def pack(
     schema = f"key {kind}, piece int, size int, source string, cluster string, seq int, start int, free int, shard int, round int"
 
     def packer(round_no: int):
-        return lambda pdf: _pack_shard(pdf, capacity, source_rule).assign(round=round_no)
+        return lambda pdf: _pack_shard(pdf, capacity, source_rule, cluster_rule).assign(round=round_no)
 
     open_rows = written(rows, "pack-items")
-    done: DataFrame | None = None
+    placed: DataFrame | None = None
     shards, round_no = max(1, -(-open_rows.count() // shard_items)), 0
     while True:
         shard = F.pmod(F.xxhash64("key", "piece", F.lit(round_no)), F.lit(shards)).cast("int")
@@ -152,19 +158,20 @@ def pack(
             .applyInPandas(packer(round_no), schema)
         )
         if shards == 1:
-            last_round = packed
+            placed = packed if placed is None else placed.unionByName(packed)
             break
         packed = written(packed, f"pack-{round_no}")
-        full = packed.where(F.col("free") <= slack)
-        done = full if done is None else done.unionByName(full)
         open_rows = packed.where(F.col("free") > slack)
-        left = open_rows.count()
+        fewer = max(1, -(-open_rows.count() // shard_items))
+        if fewer >= shards:
+            # what is left does not fit in fewer shards of bounded size: packing it again would not help
+            placed = packed if placed is None else placed.unionByName(packed)
+            break
+        full = packed.where(F.col("free") <= slack)
+        placed = full if placed is None else placed.unionByName(full)
         round_no += 1
-        # fewer shards each round: what is left is small, and it must come together to be packed tighter
-        shards = max(1, min(shards // 8, -(-left // shard_items)))
-        if left > shards * shard_items * 2:
-            shards = -(-left // (shard_items * 2))
-    placed = last_round if done is None else done.unionByName(last_round)
+        # what is left is small, and it must come together to be packed tighter
+        shards = fewer
     sequence = F.concat_ws("-", "round", "shard", "seq")
     return placed.select(
         F.col("key").alias(key), "piece", sequence.alias("sequence_id"), F.col("start").alias("start_token"),

@@ -142,9 +142,16 @@ def describe(text: str | None, common: frozenset[str] | set[str]) -> tuple:
     )
 
 
+#: Words of the given table at most; more are an error, not a cut.
+MOST_COMMON = 10_000
+
+
 def common_words(table: DataFrame, word: str = "word") -> frozenset[str]:
     """The given table of common words, which is of fixed size: read to the driver, as a parameter."""
-    return frozenset(r[0] for r in table.select(word).where(F.col(word).isNotNull()).distinct().limit(10_000).collect())
+    rows = table.select(word).where(F.col(word).isNotNull()).distinct().limit(MOST_COMMON + 1).collect()
+    if len(rows) > MOST_COMMON:
+        raise ValueError(f"a table of common words has at most {MOST_COMMON} entries")
+    return frozenset(r[0] for r in rows)
 
 
 def text_statistics(
