@@ -48,6 +48,8 @@ STRANGE = re.compile(r"[^\w\s.,;:!?'\"()\[\]‘’“”„«»‹›—–‐\-
 REPLACED = re.compile(r"�|[ÃÂ][\x80-\xbf¤¶¼]|â€")
 #: Letter-spaced headings, as ``T H E   W A T E R``.
 SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ ]+){4,}[^\W\d_](?!\w)")
+#: The most that a block's layout adds to its score.
+LAYOUT_MOST = 1.2
 SENTENCE_END = tuple(".!?…”\"'»’:;)")
 
 STATS = (
@@ -83,16 +85,18 @@ def layout(lines: list[str]) -> tuple[float, float, float]:
 def nonprose_score(block: str, lines: list[str], common: frozenset[str] | set[str]) -> float:
     """Over 0: list, table or junk."""
     size = len(block)
-    spaced = SPACED.search(block) is not None
-    words = WORD.findall((SPACED.sub("", block) if spaced else block).lower())
+    words = WORD.findall(block.lower())
+    spaced = sum([len(w) == 1 for w in words]) > 4 and SPACED.search(block) is not None
+    if spaced:
+        words = WORD.findall(SPACED.sub("", block).lower())
     n = len(words)
     if n < 3 and (size < 40 or spaced):
         return -1.0
     known = sum([w in common or w in FUNCTION_WORDS for w in words]) / n if n else 0.0
     strange = len(STRANGE.findall(block)) / size
-    aligned, period, lengths = layout(lines)
     many = len(lines) > 2
-    score = 0.8 * aligned + 0.2 * max(0.0, period) + 0.2 * max(0.0, lengths)
+    # prose in the corpus' languages has well over a third of common and function words
+    score = 8.0 * (0.27 - known) - 0.9
     if ".." in block or "…" in block or "__" in block or ". ." in block:
         score += 3.0 * min(1.0, 1.6 * len(LEADER.findall(block)) / len(lines))
     if DIGIT.search(block):
@@ -109,8 +113,10 @@ def nonprose_score(block: str, lines: list[str], common: frozenset[str] | set[st
     if strange:
         spoilt = len(REPLACED.findall(block)) * 2 / size
         score += min(2.5, 14.0 * max(0.0, strange - 0.03)) + min(2.5, 25.0 * spoilt)
-    # prose in the corpus' languages has well over a third of common and function words
-    return score + 8.0 * (0.27 - known) - 0.9
+    if score <= -LAYOUT_MOST:
+        return score  # whatever the layout, it stays prose
+    aligned, period, lengths = layout(lines)
+    return score + 0.8 * aligned + 0.2 * max(0.0, period) + 0.2 * max(0.0, lengths)
 
 
 def describe(text: str | None, common: frozenset[str] | set[str]) -> tuple:
