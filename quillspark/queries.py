@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import patterns as P
 from quillspark.functions import text as T
 from quillspark.operators import chapters, chunking, cleaning, indexing, quality, retrieval, tagging
+from quillspark.staging import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -25,7 +26,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def query(sql: str | None = None):
     def add(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[function.__name__] = function
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return function(spark, sf_dir)
+
+        QUERIES[function.__name__] = run
         if sql is not None:
             ORACLE[function.__name__] = sql
         return function
