@@ -2,29 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.staging import written  # noqa: F401
-
-_SHIPPED: set[str] = set()
-
+from quillspark.staging import ship, written
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, for clusters where it is not installed."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="quillspark-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(target, "w") as archive:
-        for source in sorted(package.rglob("*.py")):
-            archive.write(source, source.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(target))
-    _SHIPPED.add(app)
+__all__ = ["ship", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -17,6 +17,7 @@ smaller id.  A collection of fewer than ``k + 1`` vectors gives fewer rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -197,8 +198,6 @@ def nearest(
 
 def hash_of(text: str) -> int:
     """A hash that is the same in every process."""
-    import zlib
-
     return zlib.crc32(text.encode("utf-8"))
 
 

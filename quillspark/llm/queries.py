@@ -18,7 +18,23 @@ from quillspark.llm.scan_noise import find_noise, repair
 from quillspark.llm.spam import spam_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+#: Lines of a source in at least 8 texts, said at once instead of by deltas. The other operators have no SQL: they are
+#: approximate, learned from the corpus, or too slow as SQL over whole tables, and are tested against brute force.
+_LINES = r"""WITH c AS (SELECT DISTINCT id, source_file, text FROM chunks WHERE text IS NOT NULL),
+l AS (SELECT id, source_file, i - 1 AS line_no, ls[i] AS x FROM (SELECT id, source_file, ls, unnest(range(1, len(ls) + 1)) AS i
+    FROM (SELECT id, source_file, string_split(text, chr(10)) AS ls FROM c))),
+k AS (SELECT id, source_file, line_no, trim(regexp_replace(regexp_replace(lower(x), '[ \t\r\x{a0}]+', ' ', 'g'), '[0-9]+', '0', 'g')) AS k
+    FROM l WHERE length(regexp_replace(x, '[^\p{L}]+', '', 'g')) >= 25),
+n AS (SELECT source_file, k FROM k GROUP BY ALL HAVING count(DISTINCT id) >= 8),
+f AS (SELECT DISTINCT k.id, k.line_no::INT AS line_no FROM k JOIN n ON k.k = n.k AND k.source_file IS NOT DISTINCT FROM n.source_file)
+"""
+ORACLE: dict[str, str] = {
+    "p4_found": _LINES + "SELECT id, line_no FROM f",
+    "p4_cleaned": _LINES
+    + """SELECT c.id, array_to_string(list_transform(list_filter(range(1, len(string_split(c.text, chr(10))) + 1),
+    lambda i: NOT list_contains(g.gone, (i - 1)::INT)), lambda i: string_split(c.text, chr(10))[i]), chr(10)) AS text
+    FROM (SELECT id, any_value(text) AS text FROM c GROUP BY id) c JOIN (SELECT id, list(line_no) AS gone FROM f GROUP BY id) g ON c.id = g.id""",
+}
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -27,7 +27,7 @@ KEY = ["source_key", "line_key", "line_check"]
 
 
 def comparable(line: Column) -> Column:
-    spaced = F.regexp_replace(F.lower(line), r"[ \t\r ]+", " ")
+    spaced = F.regexp_replace(F.lower(line), r"[ \t\r\x{a0}]+", " ")
     return F.trim(F.regexp_replace(spaced, "[0-9]+", "0"))
 
 
