@@ -76,6 +76,12 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(total)
 
 
+def class_keys(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A key of each set: of its size and the sum of its members' hashes."""
+    sizes = np.diff(np.append(starts, len(values))).astype(np.uint64)
+    return _mix(np.add.reduceat(_mix(values), starts) + sizes).view(np.int64)
+
+
 class Signer:
     """Band keys and sketches of many sets at once."""
 
@@ -196,8 +202,7 @@ def _sketch_rows(chunks: DataFrame, id_col: str, text: str, width: int, bands: i
                 kept = [sets[i] for i in use]
                 values = np.concatenate(kept)
                 starts = np.cumsum([0, *map(len, kept[:-1])])
-                with np.errstate(over="ignore"):
-                    classes = _mix(np.add.reduceat(_mix(values), starts) + np.array([len(s) for s in kept], np.uint64))
+                classes = class_keys(values, starts)
                 # a text met before in this task has sent its band keys already: hot groups of copies stay small
                 first = np.zeros(len(kept), dtype=bool)
                 for i, c in enumerate(classes.tolist()):
@@ -213,7 +218,7 @@ def _sketch_rows(chunks: DataFrame, id_col: str, text: str, width: int, bands: i
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(use)).cast(pa.string()),
-                        pa.array(classes.view(np.int64)),
+                        pa.array(classes),
                         pa.ListArray.from_arrays(pa.array(offsets), flat, mask=mask),
                         pa.array(np.ascontiguousarray(sketch[:, 0]).view(np.int64)),
                         pa.array(np.ascontiguousarray(sketch[:, 1]).view(np.int64)),
@@ -363,12 +368,16 @@ def similar_pairs(
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, x, y = (batch.column(i) for i in range(4))
+            a, b, x, y = batch.columns
             score = []
-            for s, t in zip(x, y):
+            for i, j, s, t in zip(a.to_pylist(), b.to_pylist(), x, y):
                 p, q = shingles(s.as_py(), width), shingles(t.as_py(), width)
+                # an id that came with several texts speaks for the class of each: only that text counts
+                if not (len(p) and len(q) and class_keys(p, [0])[0] == i and class_keys(q, [0])[0] == j):
+                    score.append(-1.0)
+                    continue
                 both = len(np.intersect1d(p, q, assume_unique=True))
-                score.append(both / max(1, len(p) + len(q) - both))
+                score.append(both / (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([a, b, pa.array(score, pa.float64())], names=["class_a", "class_b", "similarity"])
 
     pairs = (

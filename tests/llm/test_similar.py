@@ -149,3 +149,12 @@ def test_groups(spark):
     assert len({got[f"c{i}"].group for i in range(14)} | {got["copy"].group}) == 1 and got["alone"].group != got["c0"].group
     for i, text in unique.items():
         assert got[i].links == sum(jaccard(text, t, 3) >= 0.5 for j, t in unique.items() if j != i)
+
+
+def test_an_id_with_several_texts(spark):
+    words = [f"w{i}" for i in range(200)]
+    one, other = " ".join(words[:60]), " ".join(words[100:160])
+    rows = [("a", one), ("a", other), ("b", " ".join(words[:58])), ("c", " ".join(words[102:160]))]
+    df = spark.createDataFrame(rows, "id string, text string")
+    found = near_duplicates.similar_pairs(df, width=3, threshold=0.5)
+    assert {(r.id_a, r.id_b) for r in near_duplicates.expanded(found).collect()} == {("a", "b"), ("a", "c")}
