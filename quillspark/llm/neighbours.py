@@ -5,8 +5,9 @@ bounded sample; every vector is indexed in its shard, by a hierarchical
 navigable small-world graph.  A vector is searched for in its own shard, from
 its own node, and in the next shards whose centroid is nearly as near; the
 results of its shards are merged.  A shard that holds over twice the planned
-rows is split by a hash of the id and all its parts are searched, so no task
-grows with a crowded region.
+rows is split by a hash of the id and all its parts are searched; a part that
+very many rows search is indexed in several tasks, each with some of them.  So
+no task grows with a crowded region.
 
 Results: rows whose vector is null, of another length, all zero, or has a null,
 NaN or infinite component take no part.  A row delivered again counts once; of
@@ -33,6 +34,10 @@ SHARD_ROWS = 8_192
 MOST_SHARDS = 4_096
 #: Rows on which the centroids are fitted (about; never over twice as many).
 SAMPLE_ROWS = 16_384
+#: Searches of other shards' rows that one task takes; a shard with more is searched in several tasks, each with its graph.
+SHARD_SEARCHES = 4 * SHARD_ROWS
+#: What a row does in its task: it is indexed and searched for, only indexed, or only searched for.
+BOTH, INDEXED, ASKS = 0, 1, 2
 #: Other shards searched, at most, and how much less similar their centroid may be than the own one's.
 PROBES = 3
 PROBE_MARGIN = 0.10
@@ -68,9 +73,11 @@ def fit_centroids(sample: np.ndarray, k: int, rounds: int = 10, seed: int = 11)
 
 def _search_shard(table: pa.Table, dim: int, k: int, m: int, ef: int) -> pa.Table:
     ids = table.column("id").to_numpy(zero_copy_only=False)
-    node = table.column("node").to_numpy(zero_copy_only=False)
+    role = table.column("role").to_numpy(zero_copy_only=False)
     x = _matrix(table.column("values"), dim)
-    at = np.flatnonzero(node)
+    at = np.flatnonzero(role != ASKS)
+    if not len(at):
+        return pa.table({"id": pa.array([], pa.string()), "neighbour": pa.array([], pa.string()), "similarity": pa.array([], pa.float64())})
     # equal vectors are one node of the graph; its members are all ids that have it
     _, first, member = np.unique(
         np.ascontiguousarray(x[at]).view(np.dtype((np.void, 4 * dim))).ravel(), return_index=True, return_inverse=True
@@ -79,10 +86,10 @@ def _search_shard(table: pa.Table, dim: int, k: int, m: int, ef: int) -> pa.Tabl
     members = pd.DataFrame({"rep": member.ravel(), "neighbour": ids[at]}).drop_duplicates()
     members = members.sort_values(["rep", "neighbour"]).groupby("rep").head(k + 1)
     found = []
-    home = pd.DataFrame({"id": ids[at], "rep": member.ravel()}).drop_duplicates()
+    home = pd.DataFrame({"id": ids[at], "rep": member.ravel()})[role[at] == BOTH].drop_duplicates()
     near, sims = graph.search(x[at[first]][home["rep"].to_numpy()], k + 1, ef, own=home["rep"].to_numpy())
     found.append((home["id"].to_numpy(), near, sims))
-    away = np.flatnonzero(~node)
+    away = np.flatnonzero(role == ASKS)
     if len(away):
         away = away[np.unique(ids[away], return_index=True)[1]]
         near, sims = graph.search(x[away], k + 1, ef)
@@ -122,7 +129,6 @@ def nearest(
     total = rows.count()
     shards = max(1, min(-(-total // shard_rows), MOST_SHARDS))
     centroids = np.zeros((1, dim), np.float32)
-    parts = np.ones(1, np.int64)
     if shards > 1:
         # the sample is chosen by a hash of the id, so that a rerun takes the same rows
         cut = int(min(1.0, sample_rows / total) * (1 << 30))
@@ -135,55 +141,68 @@ def nearest(
         order = np.argsort(-sims, axis=1, kind="stable")[:, : probes + 1]
         return order, np.take_along_axis(sims, order, 1)
 
+    parts, asked = (np.ones(len(centroids), np.int64) for _ in range(2))
     if shards > 1:
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n = np.zeros(len(centroids), np.int64)
+            n, more = (np.zeros(len(centroids), np.int64) for _ in range(2))
             for batch in batches:
                 if batch.num_rows:
-                    n += np.bincount(nearest_shards(batch)[0][:, 0], minlength=len(centroids))
-            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], names=["shard", "n"])
+                    order, sims = nearest_shards(batch)
+                    n += np.bincount(order[:, 0], minlength=len(centroids))
+                    others = order[:, 1:][sims[:, 1:] >= sims[:, :1] - margin]
+                    more += np.bincount(others, minlength=len(centroids))
+            some = np.flatnonzero(n + more)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array(more[some])], names=["shard", "n", "more"])
 
         # one row for each shard, at most MOST_SHARDS
-        sizes = rows.mapInArrow(count, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n")).collect()
-        parts = np.ones(len(centroids), np.int64)
-        for row in sizes:
-            parts[row["shard"]] = -(-row["n"] // (2 * shard_rows))
-        parts = np.maximum(parts, 1)
-    first_part = np.cumsum(parts) - parts
+        counted = rows.mapInArrow(count, "shard long, n long, more long")
+        for row in counted.groupBy("shard").agg(F.sum("n").alias("n"), F.sum("more").alias("more")).collect():
+            c = row["shard"]
+            parts[c] = max(1, -(-row["n"] // (2 * shard_rows)))
+            # the other parts' rows search a part too
+            asked[c] = max(1, -(-(row["more"] + (row["n"] if parts[c] > 1 else 0)) // (shard_rows * SHARD_SEARCHES // SHARD_ROWS)))
+    cells = parts * asked
+    first_cell = np.cumsum(cells) - cells
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             order, sims = nearest_shards(batch)
-            own = np.array([hash_of(i) for i in batch.column(0).to_pylist()], np.int64) % parts[order[:, 0]]
-            take, shard, node = [np.arange(batch.num_rows)], [first_part[order[:, 0]] + own], [True]
-            for p in range(order.shape[1]):
-                if p and shards > 1:
-                    near = np.flatnonzero(sims[:, p] >= sims[:, 0] - margin)
-                else:
-                    near = np.arange(batch.num_rows) if not p else np.zeros(0, np.int64)
+            code = np.array([hash_of(i) for i in batch.column(0).to_pylist()], np.int64)
+            home = order[:, 0]
+            own = code % parts[home]
+            turn = code // 7919
+            take, cell, role = [], [], []
+
+            def send(index: np.ndarray, shard: np.ndarray, part: np.ndarray | int, task: np.ndarray | int, what: int) -> None:
+                take.append(index)
+                cell.append(first_cell[shard] + part * asked[shard] + task)
+                role.append(np.full(len(index), what, np.int8))
+
+            for task in range(int(asked[home].max())):
+                some = np.flatnonzero(asked[home] > task)
+                send(some, home[some], own[some], task, BOTH if task == 0 else INDEXED)
+            for p in range(order.shape[1] if shards > 1 else 1):
+                near = np.flatnonzero(sims[:, p] >= sims[:, 0] - margin) if p else np.arange(batch.num_rows)
                 for sub in range(int(parts[order[near, p]].max()) if len(near) else 0):
                     some = near[(parts[order[near, p]] > sub) & ((p > 0) | (own[near] != sub))]
-                    take.append(some)
-                    shard.append(first_part[order[some, p]] + sub)
-                    node.append(False)
-            index = np.concatenate(take)
+                    shard = order[some, p]
+                    send(some, shard, sub, turn[some] % asked[shard], ASKS)
+            index = pa.array(np.concatenate(take))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(index)),
-                    batch.column(1).take(pa.array(index)),
-                    pa.array(np.concatenate(shard).astype(np.int32)),
-                    pa.array(np.repeat(node, [len(t) for t in take])),
+                    batch.column(0).take(index), batch.column(1).take(index),
+                    pa.array(np.concatenate(cell).astype(np.int32)), pa.array(np.concatenate(role)),
                 ],
-                names=["id", "values", "shard", "node"],
+                names=["id", "values", "shard", "role"],
             )
 
-    routed = rows.mapInArrow(route, "id string, values array<float>, shard int, node boolean")
-    if int(parts.sum()) > 1:
-        # one shard a partition, as far as the hash allows it
-        routed = routed.repartition(min(int(parts.sum()) * 2, 4 * MOST_SHARDS), "shard")
+    routed = rows.mapInArrow(route, "id string, values array<float>, shard int, role byte")
+    if int(cells.sum()) > 1:
+        # one task's rows a partition, as far as the hash allows it
+        routed = routed.repartition(min(int(cells.sum()) * 2, 4 * MOST_SHARDS), "shard")
     found = routed.groupBy("shard").applyInArrow(
         lambda table: _search_shard(table, dim, k, m, ef), "id string, neighbour string, similarity double"
     )

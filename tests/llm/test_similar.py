@@ -45,7 +45,8 @@ def test_neighbours(spark):
     df = spark.createDataFrame(rows, "id string, values array<float>").repartition(4)
     truth = brute(x / np.linalg.norm(x, axis=1)[:, None], 5)
     # one shard, several shards, and shards that are split
-    for options in ({}, {"shard_rows": 150}, {"shard_rows": 60, "sample_rows": 300}):
+    # (with shards of 20 rows also several tasks for one part)
+    for options in ({}, {"shard_rows": 150}, {"shard_rows": 60, "sample_rows": 300}, {"shard_rows": 20, "sample_rows": 300, "probes": 8, "margin": 0.4}):
         got = neighbours.nearest(df, dim=16, **options).collect()
         found = {}
         for r in got:
