@@ -257,3 +257,16 @@ def test_find_noise(spark):
     assert sorted((r.id, r.noise) for r in scan_noise.find_noise(df, COMMON).collect()) == [("n", "hyphen"), ("n", "misread")]
     repaired = {r.id: r.text for r in scan_noise.repair(df, COMMON).collect()}
     assert repaired["n"] == PROSE and repaired["x"] is None and repaired["y"] == ""
+
+
+def test_frequent_misread_forms_are_no_words(spark):
+    said = PROSE.replace("the children", "their children")
+    rows = [(f"c{i}", said) for i in range(160)] + [(f"m{i}", said.replace("their", "tlieir")) for i in range(3)]
+    df = spark.createDataFrame(rows, "id string, text string")
+    assert sorted((r.id, r.noise) for r in scan_noise.find_noise(df, COMMON).collect()) == [(f"m{i}", "misread") for i in range(3)]
+    # a rare word as much at home in clean texts as the frequent one is a word
+    words = spark.createDataFrame(
+        [("day", 5000, 4000), ("clay", 40, 31), ("their", 5000, 4000), ("tlieir", 40, 12), ("theſe", 9, 9), ("these", 900, 700), ("thcir", 101, 30)],
+        "word string, n long, clean long",
+    )
+    assert sorted(r.word for r in scan_noise.misread_forms(words).collect()) == ["theſe", "tlieir"]
