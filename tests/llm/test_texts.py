@@ -270,3 +270,21 @@ def test_frequent_misread_forms_are_no_words(spark):
         "word string, n long, clean long",
     )
     assert sorted(r.word for r in scan_noise.misread_forms(words).collect()) == ["theſe", "tlieir"]
+
+
+def test_heads_between_empty_lines_are_seen():
+    v = scan_noise.Vocabulary(frozenset(re.findall(r"\w+", PROSE.lower())))
+
+    def found(block, **fields):
+        titles = scan_noise.titles_of(None, fields.get("title"), None)
+        text = scan_noise.prose_text(f"{PROSE}\n\n{block}\n\n{PROSE}", COMMON, titles)
+        return scan_noise.noises(text, titles, v)
+
+    assert found("L E T T E R S     T O     M O M O X ,     V O L .     1") == {"header"}
+    assert found("L E T T E R S     T O     M O M O X ,     V O L .     1\n[PAGE 99]") == {"header", "page_number"}
+    assert found("L E T T E R S     T O     M O M O X ,     V O L .     1     77") == {"header", "page_number"}
+    assert found("[ Silent Rivers Flowing Deep ]") == {"header"}
+    assert found("SILENT RIVERS FLOWING DEEP", title="Silent Rivers Flowing Deep") == {"header"}
+    # lists and junk are still left out
+    assert found("qxv~zk wqj^rt plm#fgh zzk%tt yvv") == set()
+    assert found("Stone, silent    12\nRiver, deep    14") == set()
