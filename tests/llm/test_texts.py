@@ -288,3 +288,23 @@ def test_heads_between_empty_lines_are_seen():
     # lists and junk are still left out
     assert found("qxv~zk wqj^rt plm#fgh zzk%tt yvv") == set()
     assert found("Stone, silent    12\nRiver, deep    14") == set()
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_repair_leaves_lists_and_tables_in_place(spark, end):
+    table = end.join(["   wclf\t1901\tx^y/12   ab-", "  rivcr\t1902\tz^q/13   cd", "  stone\t1903\tw^k/14   ef"])
+    wrapped = PROSE.replace(". ", "." + end).replace("river", "riv-" + end + "er", 1)
+    rows = [(f"c{i}", PROSE) for i in range(5)] + [
+        ("amid", end.join([wrapped, "", table, " ", wrapped])),
+        ("first", end.join([table, "", wrapped])),
+        ("last", end.join([wrapped, "", table])),
+        ("twice", end.join([wrapped, "", table, "", "", table, "", wrapped])),
+        ("page", end.join([wrapped, "", "~ 12 ~", "", table, "", "and so " + wrapped])),
+    ]
+    df = spark.createDataFrame(rows, "id string, text string")
+    got = {r.id: r.text for r in scan_noise.repair(df, COMMON).collect()}
+    assert got["amid"] == "\n\n".join([PROSE, table, PROSE])
+    assert got["first"] == "\n\n".join([table, PROSE])
+    assert got["last"] == "\n\n".join([PROSE, table])
+    assert got["twice"] == "\n\n".join([PROSE, table, table, PROSE])
+    assert got["page"] == "\n\n".join([PROSE, table, "and so " + PROSE])
