@@ -308,3 +308,15 @@ def test_repair_leaves_lists_and_tables_in_place(spark, end):
     assert got["last"] == "\n\n".join([PROSE, table])
     assert got["twice"] == "\n\n".join([PROSE, table, table, PROSE])
     assert got["page"] == "\n\n".join([PROSE, table, "and so " + PROSE])
+
+
+def test_heads_in_sentence_case():
+    v = scan_noise.Vocabulary(frozenset(re.findall(r"\w+", (PROSE + " the growth of inner images l'ombre et les images du fleuve").lower())))
+
+    def seen(head, **fields):
+        return scanned(v, f"The old woman went to the\n{head}\nriver in the morning.", **fields)
+
+    assert seen("The growth of inner images", chapter="Chapter 2: The growth of inner images") == ({"header"}, "The old woman went to the river in the morning.")
+    assert seen("“L'ombre et les images du fleuve”", title="L'ombre et les images du fleuve")[0] == {"header"}
+    assert seen("The growth of inner images", title="The growth of inner images and more")[0] == set()
+    assert seen("The growth of inner images is", title="The growth of inner images")[0] == set()
