@@ -10,8 +10,8 @@ of prose has.  Pieces built as references (contents, indexes, bibliographies)
 are not spam however much they repeat.
 
 Results: a page is found when over half of its visible characters stand in such
-pieces.  Null, empty and blank texts, and texts of fewer than ``MIN_WORDS``
-words, are never found.  A repeated key counts once; extra columns are left out.
+pieces.  Null, empty and blank texts are never found, nor are texts of fewer
+than ``MIN_WORDS`` words that have no link, tag, sign between keywords or repeated word.  A repeated key counts once; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -35,11 +35,14 @@ TAG = re.compile(r"#\w+")
 SEPARATOR = re.compile(r"[|/;,·•»›*>#]| [-–—] ")
 #: Signs between link texts.
 BAR = re.compile(r" [|·•»›] ")
+#: A tag, or a sign between two keywords or link texts.
+MARKED = re.compile(r"#[^\W\d_]|\w ?\| ?\w|\w [·•»›/] \w")
 #: Signs that end a sentence, a quotation or a speaker's name.
 CLOSED = (".", "!", "?", "…", '"', "”", "»", "'", ")", ":")
 LONG_LINE = 300
 #: Symbols that a repeat must have at least.
 LEAST_REPEAT = 3
+#: Shorter texts have too few words to tell a clause by them.
 MIN_WORDS = 6
 
 
@@ -186,7 +189,7 @@ def spam_share(text: str | None, common: frozenset[str]) -> float:
     if text is None or not text.strip():
         return 0.0
     rows = features(text, common)
-    if sum(r[1] for r in rows) < MIN_WORDS:
+    if sum(r[1] for r in rows) < MIN_WORDS and not (LINK.search(text) or MARKED.search(text) or any(r[8] >= 0.5 for r in rows)):
         return 0.0
     weights = spam_weights(rows)
     least = -1.0 if max(weights) > 0 else 0.0

@@ -320,3 +320,10 @@ def test_heads_in_sentence_case():
     assert seen("“L'ombre et les images du fleuve”", title="L'ombre et les images du fleuve")[0] == {"header"}
     assert seen("The growth of inner images", title="The growth of inner images and more")[0] == set()
     assert seen("The growth of inner images is", title="The growth of inner images")[0] == set()
+
+
+def test_short_spam():
+    for page in ("#river #wolf #bridge", "river | wolf | bridge", "https://wolves.example/river", "wolf wolf wolf wolf", "Wolf » River » Tags"):
+        assert spam.spam_share(page, COMMON) > 0.5, page
+    for page in ("suddenly", "Vienna, 12/3/31", "no ancient brother obscures", "Letter #12", "* * *", "he and/or it", "• later", "#", "|", "\x00"):
+        assert spam.spam_share(page, COMMON) == 0.0, page
