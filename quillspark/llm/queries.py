@@ -13,7 +13,7 @@ from quillspark.llm.near_duplicates import expanded, groups, similar_pairs
 from quillspark.llm.neighbours import nearest, neighbour_pairs
 from quillspark.llm.packing import pack
 from quillspark.llm.quality import common_words, not_prose, text_statistics
-from quillspark.llm.repeated_lines import repeated_lines, without_lines
+from quillspark.llm.repeated_lines import cleaned_texts, repeated_lines, without_lines
 from quillspark.llm.scan_noise import find_noise, repair
 from quillspark.llm.spam import spam_pages
 
@@ -129,3 +129,9 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, late = _deliveries(spark, sf_dir)
     return without_lines(table(spark, sf_dir, "chunks"), written(repeated_lines(first, [late]), "line-places"))
+
+
+@query
+def p4_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, late = _deliveries(spark, sf_dir)
+    return cleaned_texts(table(spark, sf_dir, "chunks"), written(repeated_lines(first, [late]), "line-places"))

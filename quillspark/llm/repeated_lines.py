@@ -90,6 +90,15 @@ def without_lines(chunks: DataFrame, places: DataFrame, id_col: str = "id", text
     return rows.select("id", F.array_join(kept, "\n").alias("text")).dropDuplicates(["id"])
 
 
+def cleaned_texts(chunks: DataFrame, places: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
+    """``id, text``: every text, once each, without such lines; texts without them (null and empty ones too) as they stand."""
+    gone = places.groupBy("id").agg(F.collect_set("line_no").alias("_gone"))
+    rows = chunks.select(F.col(id_col).cast("string").alias("id"), F.col(text).alias("text")).join(gone, "id", "left")
+    kept = F.expr("filter(split(text, '\\n', -1), (x, i) -> not array_contains(_gone, i))")
+    whole = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return rows.select("id", whole.alias("text")).dropDuplicates(["id"])
+
+
 def repeated_lines(
     first: DataFrame, later: list[DataFrame], min_texts: int = MIN_TEXTS, min_letters: int = MIN_LETTERS,
     id_col: str = "id", text: str = "text", source: str = "source_file",

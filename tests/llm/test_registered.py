@@ -34,3 +34,10 @@ def test_found_columns(spark, data):
     for name in ("p5_found", "p6_ids", "p8_found", "p4_found", "p2_found"):
         df = queries.QUERIES[name](spark, data)
         assert df.columns == columns[name] and df.count() == df.distinct().count() > 0
+
+
+def test_every_text_comes_out_without_its_repeated_lines(spark, data):
+    given = {r.id: r.text for r in spark.read.parquet(f"{data}/chunks.parquet").select("id", "text").collect()}
+    changed = {r.id: r.text for r in queries.QUERIES["p4_cleaned"](spark, data).collect()}
+    rows = queries.QUERIES["p4_texts"](spark, data).collect()
+    assert {r.id: r.text for r in rows} == given | changed and len(rows) == len(given) > len(changed) > 0
