@@ -459,6 +459,13 @@ def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.substring(F.md5(name), 1, 16).alias("made"))
 
 
+def _deliveries(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first load, and the rows that came over a week after the last file began to arrive; rows without a time are of the first."""
+    begun = chunks.groupBy("source_file").agg(F.min("ingested_at").alias("begun")).agg(F.max("begun")).first()[0]
+    late = F.coalesce(F.col("ingested_at") > F.lit(begun) + F.expr("interval 7 days"), F.lit(False))
+    return chunks.where(~late), chunks.where(late)
+
+
 # The vector table ---------------------------------------------------------------------------------------
 
 
@@ -467,7 +474,9 @@ def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _table(spark, sf_dir, "chunks").select("id", "source_file", "chunk_index", "ingested_at")
-    return indexing.upsert(chunks.limit(0), chunks, version="ingested_at")
+    held, incoming = _deliveries(chunks)
+    current = indexing.upsert(held.limit(0), held, version="ingested_at")
+    return indexing.upsert(current, incoming, version="ingested_at")
 
 
 @query(

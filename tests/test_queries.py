@@ -43,3 +43,17 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_upserted_merges_late_rows_with_a_held_table(spark, data, monkeypatch):
+    merged = []
+    upsert = core.indexing.upsert
+
+    def counted(current, incoming, **more):
+        merged.append((current.count(), incoming.count()))
+        return upsert(current, incoming, **more)
+
+    monkeypatch.setattr(core.indexing, "upsert", counted)
+    rows = core.QUERIES["upserted"](spark, data).collect()
+    current, incoming = merged[-1]
+    assert current > 0 and incoming > 0 and len(rows) == len({r.id for r in rows}) >= current
