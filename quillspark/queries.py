@@ -517,7 +517,7 @@ def top_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Queries (ids divisible by 50, read as hexadecimal numbers) and their relevant hits with their fields."""
+    """Queries (ids whose last 8 of 16 digits, read as a hexadecimal number, are divisible by 50; so the SQL has it) and their relevant hits with their fields."""
     rows = _table(spark, sf_dir, "vectors").where(F.size("values") == 128)
     once = rows.groupBy("id").agg(F.first("values").alias("values"))
     asked = once.where(F.conv(F.substring("id", 9, 8), 16, 10).cast("long") % 50 == 0).withColumnRenamed("id", "query_id")
