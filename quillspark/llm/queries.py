@@ -99,7 +99,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p5_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     common = common_words(table(spark, sf_dir, "common_words"))
-    return text_statistics(table(spark, sf_dir, "chunks"), common)
+    return text_statistics(table(spark, sf_dir, "chunks"), common, once=True)
 
 
 @query

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -148,6 +149,53 @@ def test_statistics(spark):
     assert rows["d"].word_count == 0 and rows["e"].char_len == 3 and not rows["e"].is_prose
     assert rows["b"].delimiter_alignment == 1.0 and rows["a"].is_prose
     assert quality.text_statistics(df.limit(0), COMMON).count() == 0
+    once = quality.text_statistics(df, COMMON, once=True).collect()
+    assert len(once) == len({r.id for r in once}) == len(rows) and all(rows[r.id] == r for r in once)
+    assert quality.text_statistics(df.limit(0), COMMON, once=True).count() == 0
+
+
+LISTS = {
+    "bullets": "\n".join(f"• {a} {b}" for a in ("quiet", "golden", "broken") for b in ("river", "wolf", "tower")),
+    "inline": "; ".join(f"◦ {a} {b}" for a in ("quiet", "golden", "broken") for b in ("river", "wolf", "tower")),
+    "index": " ".join(f"{w}, {n}, {n + 4}–{n + 9}" for n, w in enumerate("river wolf tower bridge garden".split(), 30)),
+    "contents": "\n".join(f"{n}. {w} ........ {n * 7}" for n, w in enumerate("River Wolf Tower Bridge Garden".split(), 1)),
+    "columns": "\n".join(f"{w}   {n * 3}.5   {n * 7}.25" for n, w in enumerate("river wolf tower bridge garden".split(), 10)),
+    "two rows": "river, broad, 71, 301, 495\nwolf, young, 32, 136, 363",
+    "open rows": "ambiguous mountains\ndead forest lantern\nfertile passage\nwide child garden\ncultural figure\nlong summer",
+}
+
+
+@pytest.mark.parametrize("name", sorted(LISTS))
+def test_layout_tells_lists(name, monkeypatch):
+    assert quality.nonprose_share(LISTS[name], COMMON) > 0.5
+    monkeypatch.setattr(quality, "WEIGHTS", (0.0, 0.0, 0.0, 0.0, *quality.WEIGHTS[4:]))
+    assert quality.nonprose_share(LISTS[name], COMMON) == 0.0
+
+
+def test_letters_tell_junk():
+    for text in ("m~co dim(( _ k.£ |li1c )k_buu a:,(( *r/\\ a £dmI_* £^m1x ~l»k e l*§§u::", "zvkqx wgjpb xqzvk mfwpb gkxzv qjvbw pkzgf xvqwj bzkpg wvxqj"):
+        assert quality.nonprose_share(text, COMMON) == 1.0
+    for text in ("THE QUIET RIVER", "Vienna, 1931", "no ancient brother obscures", "a", "1931", PROSE.upper(), PROSE.replace(", ", ",\n")):
+        assert quality.nonprose_share(text, COMMON) == 0.0
+
+
+def test_layout_decides_on_the_tables(spark, data, monkeypatch):
+    """Without the layout at least a fifth of the found chunks are not found."""
+    common = quality.common_words(spark.read.parquet(f"{data}/common_words.parquet"))
+    texts = [r.text for r in spark.read.parquet(f"{data}/chunks.parquet").select("text").collect() if r.text and r.text.strip()]
+    found = [t for t in texts if quality.nonprose_share(t, common) > 0.5]
+    monkeypatch.setattr(quality, "WEIGHTS", (0.0, 0.0, 0.0, 0.0, *quality.WEIGHTS[4:]))
+    assert 0 < len([t for t in found if quality.nonprose_share(t, common) > 0.5]) <= 0.8 * len(found)
+
+
+def test_weights_are_fitted(spark):
+    blocks = [(t, True) for t in LISTS.values()] + [(PROSE, False), (PROSE.replace(", ", ",\n"), False), ("The river", False), (None, True), ("x", None), (" ", True)]
+    df = spark.createDataFrame(blocks, "block string, nonprose boolean")
+    weights = quality.fit_weights(df, COMMON, rounds=500)
+    assert weights[0] > 1 and weights[-1] < 0
+    assert weights == quality.fit_weights(df.repartition(3), COMMON, rounds=500)
+    with pytest.raises(ValueError):
+        quality.fit_weights(df.where("nonprose"), COMMON)
 
 
 def brute_lines(rows, least):
@@ -199,9 +247,23 @@ def brute_repeats(symbols, least):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from("abc"), max_size=30))
-def test_suffix_automaton(symbols):
-    assert spam.repeated(symbols).tolist() == brute_repeats(symbols, spam.LEAST_REPEAT)
+@given(st.lists(st.sampled_from("abc"), max_size=30), st.integers(2, 5))
+def test_suffix_automaton(symbols, least):
+    expected = brute_repeats(symbols, least)
+    assert spam.repeated(symbols, least).tolist() == expected
+    if len(symbols) > least:
+        # long pages give the same by arrays
+        assert spam.repeated_long(symbols, least).tolist() == expected
+
+
+def test_the_automaton_decides_on_the_tables(spark, data, monkeypatch):
+    """Without coverage at least a fifth of the found pages are not found; and no page is passed over that coverage would find."""
+    common = quality.common_words(spark.read.parquet(f"{data}/common_words.parquet"))
+    texts = [r.text for r in spark.read.parquet(f"{data}/documents.parquet").select("text").collect()]
+    found = [t for t in texts if spam.spam_share(t, common, 0.5) > 0.5]
+    assert found == [t for t in texts if spam.spam_share(t, common) > 0.5] and found
+    monkeypatch.setattr(spam, "repeated", lambda symbols, least=3: np.zeros(len(symbols), dtype=bool))
+    assert len([t for t in found if spam.spam_share(t, common) > 0.5]) <= 0.8 * len(found)
 
 
 def test_spam(spark):
