@@ -44,10 +44,8 @@ FUNCTION_WORDS = frozenset(
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
-#: What a row consists of: cell borders, leaders, numbers, words and single signs.
-PLACE = re.compile(
-    r"(\t|\||(?<=\S) {2,}(?=\S))|(\.[ .]{2,}\.|…{2,}|_{3,})|(\d+(?:[.,–-]\d+)*)|([^\W\d_]+(?:['’-][^\W\d_]+)*)|[^\w\s]"
-)
+#: Between a row's cells.
+CELLS = re.compile(r"\t| {2,}")
 #: Where items of a list that stands on one line end: after a sign of a list, or between a number and a word.
 ITEM_ENDS = (re.compile(r"(?<=[;•·‣◦▪])\s+"), re.compile(r"(?<=\d)\s+(?=[^\W\d_])"))
 LEAST_ITEMS, ITEM_CHARS = 4, 70
@@ -68,7 +66,7 @@ CLAUSE_SHARE = 0.15
 SENTENCE_END = tuple(".!?…”\"'»’:;)")
 
 #: Of alignment, indent period, length autocorrelation, short open rows, unusual signs, rare letters, clause words; and the bias.
-WEIGHTS = (6.5, 0.5, 1.5, 2.5, 2.7, 4.8, -5.3)
+WEIGHTS = (6.5, 0.5, 1.5, 2.5, 2.7, 4.8, -4.6)
 BIAS = -1.0
 
 
@@ -81,20 +79,31 @@ def rows_of(lines: list[str]) -> tuple[list[str], bool]:
     return (items, True) if len(items) > LEAST_ITEMS and len(text) < ITEM_CHARS * len(items) else (lines, False)
 
 
+def _place(part: str) -> str | None:
+    """A number, the sign at a part's end or start, or None for a word."""
+    if part.isalpha():
+        return None
+    first, last = part[0], part[-1]
+    if last.isdigit() or first.isdigit():
+        return "9"
+    if last.isalpha():
+        return None if first.isalpha() else first
+    return "…" if len(part) > 3 and part == last * len(part) else last
+
+
 def _places(row: str) -> list[str | None]:
-    """What stands at ``PLACES`` of a row: a class of delimiter or number, or a sign; None for words and where there is nothing."""
-    found = []
-    for m in PLACE.finditer(row):
-        k = m.lastindex
-        found.append(m.group() if k is None else ("|", "…", "9", None)[k - 1])
-        if len(found) == 7:
-            break
-    if len(found) == 7:
-        tail = [m.group() if (k := m.lastindex) is None else ("|", "…", "9", None)[k - 1] for m in PLACE.finditer(row[-40:])]
-    else:
-        tail = found
-    out = found[:5] + [None] * (5 - len(found))
-    return out + [tail[-1] if len(found) > 1 else None, tail[-2] if len(found) > 2 else None]
+    """What stands at ``PLACES`` of a row's parts between spaces, with a bar between cells; None where there is nothing."""
+    if "\t" in row or "  " in row:
+        row = CELLS.sub(" | ", row)
+    found = row.split(None, 5)
+    n = len(found)
+    if n == 6:
+        tail = found[5].rsplit(None, 2)[-2:]
+        if len(tail) == 1:
+            tail = [found[4], *tail]
+        return [*map(_place, found[:5]), _place(tail[1]), _place(tail[0])]
+    out = [*map(_place, found), *[None] * (5 - n)]
+    return [*out, out[n - 1] if n > 1 else None, out[n - 2] if n > 2 else None]
 
 
 def alignment(rows: list[str], items: bool = False) -> float:
