@@ -10,6 +10,11 @@ from dataclasses import dataclass
 
 SPACES = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 S = f"[{SPACES}]"
+#: The same within a line.
+IN_LINE = SPACES.replace(r"\t-\r", r"\t\x{b}-\r")
+L = f"[{IN_LINE}]"
+#: The characters of SPACES themselves.
+SPACE_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 STRIP = rf"^{S}+|{S}+\z"
 ROMAN_OR_DIGITS = "[IVXLCDM0-9]+"
 MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december"
@@ -28,6 +33,24 @@ def any_of(*rules: str, ignore_case: bool = True) -> str:
     return ("(?i)" if ignore_case else "") + "(?:" + "|".join(rules) + ")"
 
 
+def by_line(rule: str) -> str:
+    """A rule of a stripped line, anchored at its start, as a rule of a whole text that finds it in any of its lines.
+
+    It finds at most one place a line, so that counting places counts lines.
+    """
+    return "(?dm)" + _in_lines(rule)
+
+
+def _in_lines(rule: str) -> str:
+    return rule.replace(SPACES, IN_LINE).replace(r"\A", f"^{L}*+").replace(r"\z", f"{L}*+$")
+
+
+def whole_line(rule: str, anywhere: str | None = None) -> str:
+    """As ``by_line``, but finds the whole line; ``anywhere`` is a rule that may hold at any place of the line."""
+    inner = f"(?:{_in_lines(rule)})" + (f"|^[^\n]*(?:{_in_lines(anywhere)})" if anywhere else "")
+    return f"(?dm)(?:{inner})[^\n]*$"
+
+
 @dataclass(frozen=True)
 class Author:
     """Whose running heads are dropped and whose prefaces are kept."""
@@ -59,7 +82,7 @@ def clean_header(author: Author | None = None) -> str:
     """Header or footer line of an extracted text; upper and lower case differ."""
     rules = [whole("[0-9]+"), DASHED_NUMBER, whole(rf"(?:chapter|part){S}+{ROMAN_OR_DIGITS}"), whole(SERIES_TITLE)]
     if author:
-        rules += [whole(author.initials.upper() + author.surname.upper()), whole(rf"{author.first.upper()}{S}+{author.surname.upper()}")]
+        rules += [whole(author.initials + author.surname.upper()), whole(rf"{author.first.upper()}{S}+{author.surname.upper()}")]
     return any_of(*rules, ignore_case=False)
 
 
@@ -83,15 +106,21 @@ TOC_LINE = any_of(
     rf"\A[0-9]{{1,2}}{S}+(?:{MONTHS}){S}+[0-9]{{4}}\z",
 )
 
-FRONT_MATTER = any_of(
-    "copyright",
-    rf"all{S}+rights{S}+reserved",
-    "isbn",
-    rf"library{S}+of{S}+congress",
-    rf"printed{S}+in{S}+(?:the{S}+)?(?:united|usa|u\.s)",
-    rf"published{S}+by",
-    rf"university{S}+press",
-    rf"first{S}+(?:edition|printing|published)",
+def front_anywhere(publishers: tuple[str, ...] = ()) -> str:
+    """What makes a line front matter wherever it stands in it; ``publishers`` are patterns of publishers' and series' names."""
+    return any_of(
+        "copyright",
+        rf"all{S}+rights{S}+reserved",
+        "isbn",
+        rf"library{S}+of{S}+congress",
+        rf"printed{S}+in{S}+(?:the{S}+)?(?:united|usa|u\.s)",
+        rf"published{S}+by",
+        rf"first{S}+(?:edition|printing|published)",
+        *publishers,
+    )
+
+
+FRONT_START = any_of(
     whole(rf"table{S}+of{S}+contents"),
     whole("contents"),
     whole("acknowledgments?"),
@@ -101,6 +130,11 @@ FRONT_MATTER = any_of(
     prefix("chronolog(?:y|ical)"),
 )
 
+
+def front_matter(publishers: tuple[str, ...] = ()) -> str:
+    return any_of(front_anywhere(publishers), FRONT_START, ignore_case=False)
+
+
 BACK_HEADING = any_of(*(whole(x) for x in ("index", rf"subject{S}+index", rf"name{S}+index", rf"general{S}+index", "bibliography", rf"works{S}+cited")))
 
 _NOTES = "(?:note|preface|introduction|foreword)"
@@ -150,6 +184,7 @@ ABBREVIATIONS = "Dr|Mr|Mrs|Ms|Prof|Jr|Sr|vs|etc|i\\.e|e\\.g|vol|Vol|par|pars|cf|
 #: Word pieces of the native token counter: runs of ASCII letters and digits, every other visible sign alone.
 TOKEN = r"[A-Za-z0-9]+|[^ \t\n\r\f\x0bA-Za-z0-9]"
 
+MARKER_WORDS = "CHAPTER|Chapter|PART|Part|SECTION|Section|LECTURE|Lecture|Seminar|To"
 STANDARD_MARKER = rf"\A(CHAPTER|Chapter|PART|Part|SECTION|Section|LECTURE|Lecture){S}+({ROMAN_OR_DIGITS})[{SPACES}:.]*(.*)\z"
 SEMINAR_MARKER = rf"\A(Seminar){S}+([0-9]+)[{SPACES}:.]*(.*)\z"
 LETTER_MARKER = any_of(

@@ -11,7 +11,7 @@ from quillspark.functions.patterns import Author
 
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(text, P.STRIP, "")
+    return F.btrim(text, F.lit(P.SPACE_CHARS))
 
 
 def lines(text: Column) -> Column:
@@ -32,7 +32,7 @@ def squeeze_blanks(text: Column) -> Column:
 
 
 def strip_lines(text: Column) -> Column:
-    return unlines(F.transform(F.split(text, "\n", -1), strip))
+    return F.regexp_replace(text, rf"(?dm)^{P.L}+|{P.L}++$", "")
 
 
 def dehyphenate(text: Column) -> Column:
@@ -103,8 +103,8 @@ def is_toc_line(line: Column) -> Column:
     return strip(line).rlike(P.TOC_LINE)
 
 
-def is_front_matter(line: Column) -> Column:
-    return strip(line).rlike(P.FRONT_MATTER)
+def is_front_matter(line: Column, publishers: tuple[str, ...] = ()) -> Column:
+    return strip(line).rlike(P.front_matter(publishers))
 
 
 def is_back_heading(line: Column) -> Column:
@@ -115,16 +115,27 @@ def is_section_to_remove(line: Column, author: Author | None = None) -> Column:
     return (line.rlike(P.SECTION_TO_REMOVE) | line.rlike(P.BY_SOMEBODY)) & ~line.rlike(P.author_content(author))
 
 
+#: A long line that begins like a sentence, has ten words, a comma or point and is not all capitals; anywhere in a text.
+PROSE_LINE = (
+    rf"(?dm)^{P.L}*+(?=[A-Z\"'])(?=[^\n]{{79}}[^\n]*[^{P.SPACES}])(?=(?:[^{P.SPACES}]++{P.L}++){{9}}[^{P.SPACES}])(?=[^\n]*[,.])"
+    r"(?:(?=[^\n]*\p{Ll})|(?![^\n]*\p{Lu}))"
+)
+
+
 def is_prose_line(line: Column) -> Column:
-    """A long line that begins like a sentence, has a comma or point and is not all capitals."""
-    s = strip(line)
-    return (
-        (F.length(s) >= 80)
-        & s.rlike(r"\A[A-Z\"']")
-        & (F.size(F.split(s, rf"{P.S}+")) >= 10)
-        & s.rlike("[,.]")
-        & ~((s == F.upper(s)) & (s != F.lower(s)))
-    )
+    return line.rlike(PROSE_LINE)
+
+
+def count_lines(text: Column, rule: str) -> Column:
+    """In how many lines a rule made by ``patterns.by_line`` or ``patterns.whole_line`` holds."""
+    return F.regexp_count(text, F.lit(rule))
+
+
+def without_lines(text: Column, rule: str) -> Column:
+    """The text without the lines in which a rule of a whole stripped line holds."""
+    inner = rule.removeprefix("(?dm)")
+    first = F.regexp_replace(text, f"(?dm){inner}\n", "")
+    return F.regexp_replace(first, rf"(?dm)(?:\A|\n){inner}\z", "")
 
 
 def is_index_like(paragraph: Column) -> Column:
@@ -152,21 +163,26 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda s: strip(F.replace(s, F.lit(mark), F.lit(".")))), lambda s: s != "")
 
 
+#: Marks of the merger; Unicode keeps these code points out of texts.
+_BREAK, _INDENT = "\ufdd0", "\ufdd1"
+
+
 def merge_lines(rows: Column) -> Column:
-    """Lines put together into paragraphs.
+    return merge_text(unlines(rows))
 
-    A paragraph begins after an empty line, at a heading, and at a capital after a line that ends a sentence.
-    Only the line before decides, so each line's separator is known without a fold.
-    """
 
-    def piece(line: Column, i: Column) -> Column:
-        s = strip(line)
-        before = F.when(i > 0, strip(F.get(rows, i - 1))).otherwise(F.lit(""))
-        ended = before.rlike(r"[.!?:\"]\z") & s.rlike(r"\A\p{Lu}")
-        opens = (before == "") | ended | line.rlike(r"\A(?:   |\t)") | s.rlike(P.HEADING_START)
-        return F.when(s == "", F.lit("")).otherwise(F.concat(F.when(opens, F.lit("\n\n")).otherwise(F.lit(" ")), s))
+def merge_text(text: Column) -> Column:
+    """A text's lines put together into paragraphs.
 
-    return F.regexp_replace(F.array_join(F.transform(rows, piece), ""), r"\A\n+", "")
+    A paragraph begins after an empty line, at an indented line, at a heading, and at a capital after a line that ends a
+    sentence.  Only the line before decides, so a few replacements over the whole text say it, without a fold.
+    """
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?dm)^(?:   |\t){P.L}*+(?=[^\n])", _INDENT)
+    t = strip_lines(t)
+    opens = rf"\n{{2,}}(?:{_INDENT})?|\n{_INDENT}|\n(?={P.HEADING_START.replace(r"\A", "")})|(?<=[.!?:\"])\n(?=\p{{Lu}})"
+    t = F.replace(F.regexp_replace(t, opens, _BREAK), F.lit("\n"), F.lit(" "))
+    t = F.btrim(F.replace(t, F.lit(_INDENT), F.lit("")), F.lit(_BREAK + " "))
+    return F.replace(t, F.lit(_BREAK), F.lit("\n\n"))
 
 
 def count_tokens(text: Column) -> Column:
@@ -205,10 +221,14 @@ def file_stem(name: Column) -> Column:
     return F.regexp_replace(name, r"(?<=.)\.[^.]*\z", "")
 
 
-def work_metadata(source_file: Column) -> Column:
+def work_metadata(
+    source_file: Column, titles: list[tuple[int, str, str]] | None = None, publishers: tuple[str, ...] = ()
+) -> Column:
     """Struct of title, year and volume from a file's name.
 
-    Title: the second part between `` - ``, else the whole name; ``_`` as space; without publishers' tails; with the year.
+    Title: that of the first entry of ``titles`` (ordinal, key, title) whose key is part of the name; else the second part
+    between `` - ``, else the whole name; ``_`` as space; without a tail that begins with a dash and one of ``publishers``.
+    With the year, unless it has one.
     """
     name = file_stem(source_file)
     years = F.regexp_extract_all(name, F.lit(r"\(([0-9]{4})\)"), F.lit(1))
@@ -218,7 +238,11 @@ def work_metadata(source_file: Column) -> Column:
     parts = F.split(title, " - ", -1)
     title = F.when(F.size(parts) >= 2, F.get(parts, F.lit(1))).otherwise(title)
     title = F.translate(title, "_", " ")
+    if publishers:
+        title = F.regexp_replace(title, rf"(?is){P.S}*-{P.S}*(?:{'|'.join(publishers)}).*\z", "")
     title = F.regexp_replace(title, rf"{P.S}*\([0-9]{{4}}\){P.S}*\z", "")
     title = strip(F.regexp_replace(title, rf"{P.S}+", " "))
+    lower = F.lower(name)
+    title = F.coalesce(*[F.when(lower.contains(key.lower()), F.lit(known)) for _, key, known in titles or []], title)
     title = F.when(year.isNotNull() & ~title.rlike(r"\([0-9]{4}"), F.concat(title, F.lit(" ("), year, F.lit(")"))).otherwise(title)
     return F.struct(strip(title).alias("title"), year.alias("year"), volume.alias("volume"))

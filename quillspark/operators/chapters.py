@@ -23,22 +23,27 @@ def with_markers(
     decides, and it is found without a fold.  A narrow map: a document's lines stay one array.
     """
     name = F.lower(F.coalesce(F.col(source_file), F.lit("")))
+    memoir = rf"(?i)\A(?:{'|'.join(memoir_chapters)})\z" if memoir_chapters else None
+    # what every rule begins with: one scan of the text tells most texts, one match most lines
+    begins = rf"\A{P.S}*(?:(?:{P.MARKER_WORDS}){P.S}|[0-9]|(?:{P.MONTHS_CAPITAL}){P.S}|[A-Z][A-Z{P.SPACES}]{{10}}"
+    begins += rf"|(?i:{'|'.join(memoir_chapters)}))" if memoir_chapters else ")"
+    text_lines = F.transform(lines(F.col(text)), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
     df = documents.select(
         F.struct(*documents.columns).alias("row"),
         (name.contains("letters") | name.contains("correspondence")).alias("is_letters"),
         (name.contains("memories") & name.contains("dreams")).alias("is_memoir"),
         name.contains("collected works").alias("is_works"),
-        lines(F.col(text)).alias("l"),
+        F.col(text).alias("text"),
+        F.when(F.col(text).rlike(P.by_line(begins)), F.filter(text_lines, lambda r: r.x.rlike(begins))).alias("l"),
     )
-    memoir = rf"(?i)\A(?:{'|'.join(memoir_chapters)})\z" if memoir_chapters else r"\A\z(?!)"
 
-    def candidate(x: Column, i: Column) -> Column:
-        s = strip(x)
+    def candidate(r: Column) -> Column:
+        s = strip(r.x)
         standard = F.when(s.rlike(P.STANDARD_MARKER), "standard").when(s.rlike(P.SEMINAR_MARKER), "seminar")
         return F.struct(
-            i.alias("i"), s.alias("s"), standard.alias("standard"), s.rlike(P.LETTER_MARKER).alias("letter"),
-            s.rlike(memoir).alias("memoir"), (s.rlike(P.ESSAY_MARKER) & ~s.rlike(P.ESSAY_EXCLUDED)).alias("essay"),
-            F.length(x).alias("n"),
+            r.i.alias("i"), s.alias("s"), standard.alias("standard"), s.rlike(P.LETTER_MARKER).alias("letter"),
+            (s.rlike(memoir) if memoir else F.lit(False)).alias("memoir"),
+            (s.rlike(P.ESSAY_MARKER) & ~s.rlike(P.ESSAY_EXCLUDED)).alias("essay"),
         )
 
     df = df.withColumn("rows", F.transform("l", candidate))
@@ -71,14 +76,16 @@ def with_markers(
         part = lambda n: F.when(k == "seminar", F.regexp_extract(s, P.SEMINAR_MARKER, n)).otherwise(
             F.regexp_extract(s, P.STANDARD_MARKER, n)
         )
-        before = F.aggregate(F.slice("l", 1, m.i), F.lit(0), lambda a, x: a + F.length(x) + 1)
+        before = F.when(m.i > 0, F.length(F.call_function("substring_index", F.col("text"), F.lit("\n"), m.i)) + 1).otherwise(0)
         kinds = F.when(heading, F.initcap(part(1))).when(k == "letter", "Letter").when(k == "memoir", "Chapter").otherwise("Essay")
         title = F.when(heading, strip(part(3))).when(k == "essay", F.initcap(s)).otherwise(s)
         return F.struct(
             before.alias("char_index"), kinds.alias("type"), F.when(heading, part(2)).otherwise("").alias("number"), title.alias("title")
         )
 
-    return df.select("row.*", F.transform("marked", marker).alias("markers"))
+    markers = F.transform("marked", marker)
+    none = F.array().cast("array<struct<char_index:int,type:string,number:string,title:string>>")
+    return df.select("row.*", F.coalesce(markers, none).alias("markers"))
 
 
 def find_markers(documents: DataFrame, key: str = "id", **options) -> DataFrame:

@@ -1,7 +1,8 @@
 """Removal of front matter, back matter, headers and marks from whole texts.
 
-Every document's lines stay one array column, so the work is a narrow map: no
-shuffle, no sort, and the largest document is the largest unit.
+Rules of lines are matched over the whole text at once (anchored at its lines),
+so the work is a narrow map of a few scans: no shuffle, no sort, no array of
+lines, and the largest document is the largest unit.
 """
 
 from __future__ import annotations
@@ -12,62 +13,68 @@ from pyspark.sql import functions as F
 from quillspark.functions import patterns as P
 from quillspark.functions.patterns import Author
 from quillspark.functions.text import (
-    drop_footnote_marks, is_back_heading, is_clean_header, is_front_matter, is_prose_line, is_section_to_remove, is_toc_line,
-    lines, normalize_ocr, squeeze_blanks, squeeze_breaks, strip, strip_lines, unlines,
+    PROSE_LINE, count_lines, drop_footnote_marks, is_section_to_remove, lines, normalize_ocr, squeeze_blanks, squeeze_breaks,
+    strip, strip_lines, unlines, without_lines,
 )
 
 #: Lines after which the search for the beginning is given up.
 FRONT_LINES = 1_000
 BACK_LINES, BACK_SHARE, BACK_CHARS = 100, 0.85, 500
-
-
-def content_start(rows: Column) -> Column:
+#: One letter for each line's kind; code points that Unicode keeps out of texts.
+_FRONT, _TOC, _PROSE, _OTHER, _EMPTY = "\ufdd0\ufdd1\ufdd2\ufdd3\ufdd4"
+_KINDS = _FRONT + _TOC + _PROSE + _OTHER + _EMPTY
+
+
+def line_kinds(text: Column, publishers: tuple[str, ...] = ()) -> Column:
+    """A letter for each line: front matter, contents, prose, other or empty, of which the first that holds counts."""
+    t = F.concat(F.translate(text, _KINDS, "?" * len(_KINDS)), F.lit("\n"))
+    for rule, kind in (
+        (P.whole_line(P.FRONT_START, P.front_anywhere(publishers)), _FRONT),
+        (P.whole_line(P.TOC_LINE), _TOC),
+        (PROSE_LINE + "[^\n]*$", _PROSE),
+        (rf"(?dm)^{P.L}*+$", _EMPTY),
+        (rf"(?dm)^[^\n{_KINDS}][^\n]*$", _OTHER),
+    ):
+        t = F.regexp_replace(t, rule, kind)
+    return F.replace(t, F.lit("\n"), F.lit(""))
+
+
+def content_start(kinds: Column) -> Column:
     """The first line of the text proper: 0 where two prose lines in a row are not found.
 
-    ``rows`` are the lines that are not empty, as structs of their position ``i`` and kind ``k`` (front, toc, prose, other).
-    The second of two neighbouring prose lines decides; the start is the line before it, or the line after the
-    last front matter, whichever is later.
+    The second of two neighbouring prose lines (empty ones left out) decides; the start is the line before it, or the
+    line after the last front matter, whichever is later.
     """
     # the search stops after the first prose or other line beyond the limit
-    stop = F.array_min(F.transform(F.filter(rows, lambda r: (r.i > FRONT_LINES) & r.k.isin("prose", "other")), lambda r: r.i))
-    pairs = F.filter(
-        F.transform(rows, lambda r, j: F.when((j > 0) & (r.k == "prose") & (F.get(rows, j - 1).k == "prose"), r.i)),
-        lambda i: i.isNotNull() & (stop.isNull() | (i <= stop)),
-    )
-    second = F.array_min(pairs)
-    fronts = F.transform(F.filter(rows, lambda r: (r.k == "front") & (r.i < second)), lambda r: r.i)
-    return F.when(second.isNull(), 0).otherwise(F.greatest(F.coalesce(F.array_max(fronts), F.lit(-1)) + 1, second - 1))
-
-
-def _line_kind(line: Column) -> Column:
-    return (
-        F.when(is_front_matter(line), "front").when(is_toc_line(line), "toc").when(is_prose_line(line), "prose").otherwise("other")
-    )
+    rest = F.regexp_extract(F.substring(kinds, FRONT_LINES + 2, 2_147_483_647), f"\\A[^{_PROSE}{_OTHER}]*+[{_PROSE}{_OTHER}]?", 0)
+    searched = F.concat(F.substring(kinds, 1, FRONT_LINES + 1), rest)
+    # up to the second of the two, which is then the last line of what is found
+    upto = F.regexp_extract(searched, f"(?s)\\A.*?{_PROSE}{_EMPTY}*+{_PROSE}", 0)
+    second = F.length(upto) - 1
+    fronts = F.length(F.regexp_extract(upto, f"(?s)\\A.*{_FRONT}", 0))
+    return F.when(second < 0, 0).otherwise(F.greatest(fronts, second - 1))
 
 
-def remove_front_matter(documents: DataFrame, text: str = "text") -> DataFrame:
+def remove_front_matter(documents: DataFrame, text: str = "text", publishers: tuple[str, ...] = ()) -> DataFrame:
     """The text from its first line proper on; adds nothing to the columns but changes ``text``."""
-    df = documents.withColumn("_lines", lines(F.col(text)))
-    df = df.withColumn(
-        "_rows",
-        F.transform(
-            F.filter(F.transform("_lines", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda r: strip(r.x) != ""),
-            lambda r: F.struct(r.i.alias("i"), _line_kind(r.x).alias("k")),
-        ),
-    ).withColumn("_start", content_start(F.col("_rows")))
-    cut = unlines(F.slice("_lines", F.col("_start") + 1, F.greatest(F.size("_lines") - F.col("_start"), F.lit(0))))
-    return df.withColumn(text, cut).drop("_lines", "_rows", "_start")
+    df = documents.withColumn(text, F.coalesce(F.col(text), F.lit("")))
+    df = df.withColumn("_kinds", line_kinds(F.col(text), publishers)).withColumn("_start", content_start(F.col("_kinds")))
+    cut = F.call_function("substring_index", F.col(text), F.lit("\n"), F.col("_start") - F.length("_kinds"))
+    return df.withColumn(text, F.when(F.col("_start") > 0, cut).otherwise(F.col(text))).drop("_kinds", "_start")
 
 
 def remove_back_matter(documents: DataFrame, text: str = "text") -> DataFrame:
     """Cut at the last heading of an index or bibliography in the last lines that over 500 characters follow."""
-    df = documents.withColumn("_lines", lines(F.col(text)))
+    # only a text that has such a line and is long enough is divided into lines
+    n_lines = F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1
+    may = (n_lines >= BACK_LINES) & F.col(text).rlike(P.by_line(P.BACK_HEADING))
+    df = documents.withColumn("_lines", F.when(may, lines(F.col(text))))
     n = F.size("_lines")
     first = F.floor(n * BACK_SHARE)
     places = F.filter(
-        F.transform("_lines", lambda x, i: F.when((i > first) & is_back_heading(strip(x)), i)), lambda i: i.isNotNull()
+        F.transform("_lines", lambda x, i: F.when((i > first) & x.rlike(P.by_line(P.BACK_HEADING)), i)), lambda i: i.isNotNull()
     )
-    df = df.withColumn("_places", F.when(n >= BACK_LINES, places).otherwise(F.array().cast("array<int>")))
+    df = df.withColumn("_places", places)
     # the characters from a line to the end: the later lines and the breaks between them
     suffix = lambda i: F.length(unlines(F.slice("_lines", i + 1, n - i)))
     df = df.withColumn("_cut", F.array_max(F.filter("_places", lambda i: suffix(i) > BACK_CHARS)))
@@ -76,31 +83,43 @@ def remove_back_matter(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def drop_headers(text: Column, author: Author | None = None) -> Column:
-    return unlines(F.filter(lines(text), lambda x: ~is_clean_header(x, author)))
+    return without_lines(F.coalesce(text, F.lit("")), P.by_line(P.clean_header(author)))
 
 
-def clean_documents(documents: DataFrame, text: str = "text", author: Author | None = None, quotes: bool = False) -> DataFrame:
+def clean_documents(
+    documents: DataFrame, text: str = "text", author: Author | None = None, quotes: bool = False, publishers: tuple[str, ...] = ()
+) -> DataFrame:
     """The whole cleaning, in its fixed order. Null texts become empty."""
     df = documents.withColumn(text, normalize_ocr(F.coalesce(F.col(text), F.lit("")), author, quotes))
-    df = remove_back_matter(remove_front_matter(df, text), text)
+    df = remove_back_matter(remove_front_matter(df, text, publishers), text)
     t = drop_footnote_marks(drop_headers(F.col(text), author))
     t = squeeze_breaks(strip_lines(squeeze_blanks(squeeze_breaks(t))))
     return df.withColumn(text, strip(t))
 
 
-def line_classes(documents: DataFrame, key: str = "doc_id", text: str = "text", author: Author | None = None) -> DataFrame:
+def reduction(before: Column, after: Column) -> Column:
+    """What is left of a text, in per cent of its length; 0 for an empty one."""
+    size = F.length(F.coalesce(before, F.lit("")))
+    return F.when(size > 0, 100.0 * F.length(F.coalesce(after, F.lit(""))) / size).otherwise(0.0)
+
+
+def line_classes(
+    documents: DataFrame, key: str = "doc_id", text: str = "text", author: Author | None = None, publishers: tuple[str, ...] = ()
+) -> DataFrame:
     """How many lines of each class a text has; a line may be of several."""
-    rows = documents.select(F.col(key), lines(F.col(text)).alias("l"))
-    count = lambda test: F.size(F.filter("l", test))
+    rows = documents.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    t = F.col("t")
+    all_lines = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1
+    sections = f"(?!{P.by_line(P.author_content(author)).removeprefix('(?dm)')})(?:"
     return rows.select(
         key,
-        count(lambda x: strip(x) == "").alias("blank"),
-        count(lambda x: is_clean_header(x, author)).alias("headers"),
-        count(lambda x: (strip(x) != "") & is_toc_line(x)).alias("toc"),
-        count(is_prose_line).alias("prose"),
-        count(is_front_matter).alias("front"),
-        count(lambda x: is_back_heading(strip(x))).alias("back"),
-        count(lambda x: is_section_to_remove(strip(x), author)).alias("sections"),
+        (all_lines - count_lines(t, rf"(?dm)^{P.L}*+[^\n]")).alias("blank"),
+        count_lines(t, P.by_line(P.clean_header(author))).alias("headers"),
+        count_lines(t, P.by_line(P.TOC_LINE)).alias("toc"),
+        count_lines(t, PROSE_LINE).alias("prose"),
+        count_lines(t, P.whole_line(P.FRONT_START, P.front_anywhere(publishers))).alias("front"),
+        count_lines(t, P.by_line(P.BACK_HEADING)).alias("back"),
+        count_lines(t, "(?dm)^" + sections + P.by_line(P.any_of(P.SECTION_TO_REMOVE, P.BY_SOMEBODY, ignore_case=False)).removeprefix("(?dm)") + ")").alias("sections"),
     )
 
 

@@ -8,10 +8,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from quillspark.functions.text import display_chapter
 
 TOP_K, RELEVANT, CITED = 6, 0.7, 3
 #: Queries held by a task at a time: 20,000 of 1,024 numbers are 160 MB; more are searched in further passes.
 BLOCK_NUMBERS = 20_000_000
+#: Of them, so many are compared with a batch of rows at a time.
+PART_QUERIES = 256
 RULES = (
     "You are a knowledgeable guide to the library. Answer in two to four sentences, directly.\n"
     "Cite [1], [2] only where the words of a source are quoted."
@@ -35,6 +40,7 @@ def top_similar(
     """
     query_kind = queries.schema[query_id].dataType.simpleString()
     row_kind = rows.schema[row_id].dataType.simpleString()
+    query_type, row_type = to_arrow_type(queries.schema[query_id].dataType), to_arrow_type(rows.schema[row_id].dataType)
     asked = queries.where(_finite(F.col(query_values), dim)).select(F.col(query_id).alias("q"), F.col(query_values).cast("array<double>").alias("v"))
     searched = rows.where(_finite(F.col(row_values), dim)).select(F.col(row_id).alias("r"), F.col(row_values).cast("array<double>").alias("v"))
     block = max(1, BLOCK_NUMBERS // dim)
@@ -51,8 +57,9 @@ def top_similar(
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, queries_x = shared.value
-            best_s = np.full((len(ids), 0), 0.0)
-            best_r: np.ndarray = np.empty((len(ids), 0), dtype=object)
+            # a part of the queries at a time: its scores of a batch are some 20 MB
+            firsts = range(0, len(ids), PART_QUERIES)
+            best = [(np.zeros((min(PART_QUERIES, len(ids) - f), 0)), np.empty((min(PART_QUERIES, len(ids) - f), 0), dtype=object)) for f in firsts]
             for batch in batches:
                 if not batch.num_rows or not len(ids):
                     continue
@@ -60,22 +67,15 @@ def top_similar(
                 y = y / np.linalg.norm(y, axis=1)[:, None]
                 names = np.array(batch.column(0).to_pylist(), dtype=object)
                 order = np.argsort(names, kind="stable")
-                scores = np.concatenate([best_s, queries_x @ y[order].T], 1)
-                names = np.concatenate([best_r, np.broadcast_to(names[order], (len(ids), len(order)))], 1)
-                if scores.shape[1] > k:
-                    # all that reach the k-th score stay, so that ties are decided by the id afterwards
-                    limit = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-                    width = int((scores >= limit[:, None]).sum(1).max())
-                    top = np.argsort(-scores, axis=1, kind="stable")[:, :width]
-                    scores, names = np.take_along_axis(scores, top, 1), np.take_along_axis(names, top, 1)
-                best_s, best_r = scores, names
-            q, c = np.nonzero(best_s > (-2 if least is None else least))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[i] for i in q]), pa.array(best_r[q, c].tolist()), pa.array(best_s[q, c])]
-                if len(q)
-                else [pa.array([], names_type(query_kind)), pa.array([], names_type(row_kind)), pa.array([], pa.float64())],
-                names=["query_id", "id", "score"],
-            )
+                y, names = y[order], names[order]
+                for p, f in enumerate(firsts):
+                    best[p] = _best(*best[p], queries_x[f : f + PART_QUERIES] @ y.T, names, k)
+            for f, (scores, found) in zip(firsts, best):
+                q, c = np.nonzero(scores > (-2 if least is None else least))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([ids[f + i] for i in q], query_type), pa.array(found[q, c].tolist(), row_type), pa.array(scores[q, c])],
+                    names=["query_id", "id", "score"],
+                )
 
         hits = searched.mapInArrow(search, f"query_id {query_kind}, id {row_kind}, score double")
         found = hits if found is None else found.unionByName(hits)
@@ -83,8 +83,23 @@ def top_similar(
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def names_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+def _best(scores: np.ndarray, names: np.ndarray, more: np.ndarray, more_names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best ``k`` of those held and of a batch, with all that reach the k-th score: ties are decided by the id afterwards."""
+    if more.shape[1] > k:
+        # of a batch only what reaches its own k-th score can be among the best
+        limit = -np.partition(-more, k - 1, axis=1)[:, k - 1]
+        width = int((more >= limit[:, None]).sum(1).max())
+        top = np.argsort(-more, axis=1, kind="stable")[:, :width]
+        more, new_names = np.take_along_axis(more, top, 1), more_names[top]
+    else:
+        new_names = np.broadcast_to(more_names, more.shape)
+    scores, names = np.concatenate([scores, more], 1), np.concatenate([names, new_names], 1)
+    if scores.shape[1] > k:
+        limit = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+        width = int((scores >= limit[:, None]).sum(1).max())
+        top = np.argsort(-scores, axis=1, kind="stable")[:, :width]
+        scores, names = np.take_along_axis(scores, top, 1), np.take_along_axis(names, top, 1)
+    return scores, names
 
 
 def relevant(hits: DataFrame, least: float = RELEVANT, keep: int = CITED) -> DataFrame:
@@ -132,6 +147,14 @@ def prompts(hits: DataFrame, queries: DataFrame, query_id: str = "query_id") ->
     )
 
 
+def hit_line(rank: Column, work_title: Column, chapter: Column) -> Column:
+    """A hit as a numbered line of a list: title and, where there is one, the chapter's short form."""
+    return F.concat(
+        F.lit("["), rank.cast("string"), F.lit("] "), work_title,
+        F.when(chapter.isNotNull(), F.concat(F.lit(" — "), display_chapter(chapter))).otherwise(""),
+    )
+
+
 def with_question(history: Column, question: Column) -> Column:
     """The conversation with the question as the user's last turn."""
     turn = F.struct(F.lit("user").alias("role"), question.alias("content"))

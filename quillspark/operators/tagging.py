@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,11 +22,43 @@ def read_lexicon(lexicon: DataFrame, *columns: str) -> list[tuple]:
     return [tuple(r) for r in rows]
 
 
+#: What the letters of an ASCII pattern also match when case is folded, beside their own other case.
+_FOLDED = ("ſKıİ", "skii")
+
+
+#: A word with an optional end, or words to choose from, with or without bounds.
+_WORDS = re.compile(r"(?:\\b)?(?:([a-z]+?)(?:[a-z]\?|\([a-z|]*\)\?)?|\((?:\?:)?([a-z]+(?:\|[a-z]+)*)\))(?:\\b)?")
+
+
+def needed(pattern: str) -> list[str]:
+    """Words of which a text that the pattern matches contains at least one; none where that is not plain to see."""
+    m = _WORDS.fullmatch(pattern)
+    return [] if m is None else [m.group(1)] if m.group(1) else m.group(2).split("|")
+
+
 def concept_tags(text: Column, lexicon: list[tuple[int, str, str]]) -> Column:
-    """Concepts whose pattern occurs, in the lexicon's order; each pattern is a literal, compiled once."""
-    found = [F.when(text.rlike(f"(?iu){pattern}"), F.lit(name)) for _, name, pattern in lexicon]
-    tags = F.filter(F.array(*found), lambda x: x.isNotNull()) if found else F.array().cast("array<string>")
-    return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.array_distinct(tags))
+    """Concepts whose pattern occurs in any case, in the lexicon's order; each pattern is a literal, compiled once.
+
+    A pattern of lower-case ASCII without escapes that a capital names is looked for in the lower-cased text, which is
+    made once: a search without folding is several times as fast and finds the same.
+    """
+    none = F.array().cast("array<string>")
+    if not lexicon:
+        return none
+
+    def found(lower: Column, pattern: str) -> Column:
+        plain = pattern.isascii() and pattern == pattern.lower() and "(?" not in pattern
+        if not plain:
+            return text.rlike(f"(?iu){pattern}")
+        # plain searches for its words tell most texts before the pattern is tried
+        contained = [lower.contains(w) for w in needed(pattern)]
+        return reduce(or_, contained) & lower.rlike(pattern) if contained else lower.rlike(pattern)
+
+    # the lambda's variable holds the lower-cased text for all patterns
+    once = F.array(F.lower(F.translate(text, *_FOLDED)))
+    tags = F.transform(once, lambda t: F.array(*[F.when(found(t, pattern), F.lit(name)) for _, name, pattern in lexicon]))
+    tags = F.filter(F.flatten(tags), lambda x: x.isNotNull())
+    return F.when(text.isNull(), none).otherwise(F.array_distinct(tags))
 
 
 def top_concepts(chunks: DataFrame, concepts: str = "concepts", order: tuple[str, ...] = ("source_file", "chunk_index"), k: int = 15) -> DataFrame:

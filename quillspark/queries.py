@@ -8,14 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import patterns as P
 from quillspark.functions import text as T
 from quillspark.operators import chapters, chunking, cleaning, indexing, quality, retrieval, tagging
+from quillspark.sources import books, html
 from quillspark.staging import ship
 
+#: Patterns of publishers' names that the queries take for front matter.
+PUBLISHERS = (f"university{P.S}+press", f"some{P.S}+houses{P.S}+press")
+#: Whose running heads and prefaces the framed texts have.
+AUTHOR = P.Author("Maria", "Stone", "Clara")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -85,9 +91,12 @@ def dashes(expr: str) -> str:
     return f"translate({expr}, '—–', '--')"
 
 
-def ocr(expr: str) -> str:
+def ocr(expr: str, author: bool = False) -> str:
     t = f"replace(replace({expr}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
     t = sub(t, rf"(?i)Copyrighted Material{P.S}*")
+    if author:
+        t = sub(t, rf"(?i)\bS{P.S}+t{P.S}+o{P.S}+n{P.S}+e\b", "Stone")
+        t = sub(t, rf"\bM{P.S}*\.{P.S}*C{P.S}*\.", "M.C.")
     t = sub(t, rf"\bM{P.S}*\.{P.S}*D{P.S}*\.", "M.D.")
     t = sub(t, rf"\bP{P.S}*h{P.S}*\.{P.S}*D{P.S}*\.", "Ph.D.")
     for n in (5, 4):
@@ -115,7 +124,7 @@ def front_of(source: str) -> str:
     return f"""
     rows_ AS (SELECT doc_id, i - 1 AS i, ls[i] AS x, len(ls) AS n FROM
         (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, {split('text')} AS ls FROM {source}))),
-    kinds AS (SELECT doc_id, i, CASE WHEN {has(s, P.FRONT_MATTER)} THEN 'front' WHEN {has(s, P.TOC_LINE)} THEN 'toc'
+    kinds AS (SELECT doc_id, i, CASE WHEN {has(s, P.front_matter(PUBLISHERS))} THEN 'front' WHEN {has(s, P.TOC_LINE)} THEN 'toc'
         WHEN {prose} THEN 'prose' ELSE 'other' END AS k FROM rows_ WHERE {s} <> ''),
     pairs AS (SELECT *, lag(k) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM kinds),
     stops AS (SELECT doc_id, min(i) AS stop FROM kinds WHERE i > {cleaning.FRONT_LINES} AND k IN ('prose', 'other') GROUP BY doc_id),
@@ -138,8 +147,44 @@ def back_of(source: str) -> str:
         FROM brows b LEFT JOIN cuts USING (doc_id) GROUP BY b.doc_id)"""
 
 
-def without_headers(expr: str) -> str:
-    return f"array_to_string(list_filter(string_split({expr}, {NL}), lambda y: NOT {has(strip('y'), P.clean_header())}), {NL})"
+def without_headers(expr: str, author: P.Author | None = None) -> str:
+    return f"array_to_string(list_filter(string_split({expr}, {NL}), lambda y: NOT {has(strip('y'), P.clean_header(author))}), {NL})"
+
+
+# Texts with what the given ones lack -----------------------------------------------------------------------
+
+#: Before, between and after the given texts: rights and contents, headings of each kind, lines to drop, an index.
+FRAME = (
+    "Copyright 1950 by the heirs\nSome Houses Press\nTABLE OF CONTENTS\n1. One .... 3\n\nTRANSLATOR'S NOTE\nA word before.\n\nCHAPTER I: The Beginning\n\n",
+    "\n\n17\n\nTHE COLLECTED WORKS\nM. C. STONE\n3 May 1931\n\nS T O N E had come - M . C. Stone wrote.\nMARIA STONE\n\nFOREWORD\nNot hers.\n\nPreface by Maria Clara Stone\n\n",
+    "\n\nTo Maria Stone\n\nTHE LONG WAY HOME\n\n",
+    "\n\n- 18 -\nPart Two\nSeminar 4: Of Water\n\n",
+    "\n\nINDEX\n",
+)
+
+
+def framed() -> Column:
+    """The text four times between the pieces of the frame: once as it stands, once without empty lines, once doubled into one
+    long paragraph, and after an index."""
+    t = F.coalesce(F.col("text"), F.lit(""))
+    flat = F.replace(t, F.lit("\n"), F.lit(" "))
+    dense = F.replace(t, F.lit("\n\n"), F.lit("\n"))
+    a, b, c, d, e = map(F.lit, FRAME)
+    return F.concat(a, t, b, F.repeat(F.concat(dense, F.lit("\n")), F.lit(8)), c, flat, F.lit(" "), flat, d, t, e, t)
+
+
+def framed_sql() -> str:
+    a, b, c, d, e = (" || chr(10) || ".join(q(x) for x in piece.split("\n")) for piece in FRAME)
+    t = "coalesce(text, '')"
+    flat = f"replace({t}, {NL}, ' ')"
+    return f"({a} || {t} || {b} || repeat(replace({t}, {NL} || {NL}, {NL}) || {NL}, 8) || {c} || {flat} || ' ' || {flat} || {d} || {t} || {e} || {t})"
+
+
+def _framed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", framed().alias("text"))
+
+
+_FRAMED = f"framed AS (SELECT doc_id, {framed_sql()} AS text FROM documents)"
 
 
 # Quality ------------------------------------------------------------------------------------------------
@@ -176,6 +221,12 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("issues", F.array_join("issues", "; "))
 
 
+@query(_Q + "SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS place, doc_id, score FROM scored")
+def quality_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality.quality_scores(_table(spark, sf_dir, "documents")).select("doc_id", "score")
+    return indexing.numbered(scores, F.desc("score"), F.asc("doc_id"), name="place")
+
+
 @query(_Q + "SELECT count(*) AS files, coalesce(sum(chars), 0)::BIGINT AS chars, count(*) FILTER (score >= 70) AS good, round(avg(score), 6) AS avg_score FROM scored")
 def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_summary(quality.quality_scores(_table(spark, sf_dir, "documents")))
@@ -215,20 +266,27 @@ _PROSE = (
 )
 
 
-@query(
-    f"""SELECT doc_id, {_count(f"{_SX} = ''")} AS blank, {_count(has(_SX, P.clean_header()))} AS headers,
-    {_count(f"{_SX} <> '' AND {has(_SX, P.TOC_LINE)}")} AS toc, {_count(_PROSE)} AS prose, {_count(has(_SX, P.FRONT_MATTER))} AS front,
-    {_count(has(_SX, P.BACK_HEADING))} AS back,
-    {_count(f"({has(_SX, P.SECTION_TO_REMOVE)} OR {has(_SX, P.BY_SOMEBODY)}) AND NOT {has(_SX, P.author_content())}")} AS sections
-    FROM (SELECT doc_id, {split('text')} AS l FROM documents)"""
-)
+def _classes_sql(text: str, author: P.Author | None = None) -> str:
+    kept = f"NOT {has(_SX, P.author_content(author))}"
+    return f"""SELECT doc_id, {_count(f"{_SX} = ''")} AS blank, {_count(has(_SX, P.clean_header(author)))} AS headers,
+    {_count(f"{_SX} <> '' AND {has(_SX, P.TOC_LINE)}")} AS toc, {_count(_PROSE)} AS prose, {_count(has(_SX, P.front_matter(PUBLISHERS)))} AS front,
+    {_count(has(_SX, P.BACK_HEADING))} AS back, {_count(f"({has(_SX, P.SECTION_TO_REMOVE)} OR {has(_SX, P.BY_SOMEBODY)}) AND {kept}")} AS sections
+    FROM (SELECT doc_id, {split(text)} AS l FROM documents)"""
+
+
+@query(_classes_sql(framed_sql(), AUTHOR))
+def line_classes_framed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.line_classes(_framed(spark, sf_dir), author=AUTHOR, publishers=PUBLISHERS)
+
+
+@query(_classes_sql("text"))
 def line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.line_classes(_table(spark, sf_dir, "documents"))
+    return cleaning.line_classes(_table(spark, sf_dir, "documents"), publishers=PUBLISHERS)
 
 
 @query(f"WITH {front_of('documents')} SELECT doc_id, text FROM fronted")
 def front_matter_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.remove_front_matter(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaning.remove_front_matter(_table(spark, sf_dir, "documents").select("doc_id", "text"), publishers=PUBLISHERS)
 
 
 @query(f"WITH {back_of('documents')} SELECT b.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE b.text END AS text FROM backed b JOIN documents d USING (doc_id)")
@@ -236,32 +294,73 @@ def back_matter_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.remove_back_matter(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query(f"WITH {_FRAMED}, {front_of('framed')} SELECT doc_id, text FROM fronted")
+def front_matter_framed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.remove_front_matter(_framed(spark, sf_dir), publishers=PUBLISHERS)
+
+
+@query(f"WITH {_FRAMED}, {back_of('framed')} SELECT doc_id, text FROM backed")
+def back_matter_framed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.remove_back_matter(_framed(spark, sf_dir))
+
+
+@query(f"""WITH {_FRAMED} SELECT doc_id, {without_headers("text", AUTHOR)} AS text FROM framed""")
+def headers_framed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _framed(spark, sf_dir).select("doc_id", cleaning.drop_headers(F.col("text"), AUTHOR).alias("text"))
+
+
 @query(f"""SELECT doc_id, {without_headers("coalesce(text, '')")} AS text FROM documents""")
 def headers_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", cleaning.drop_headers(F.col("text")).alias("text"))
 
 
-@query(
-    f"""WITH normal AS (SELECT doc_id, {ocr("coalesce(text, '')")} AS text FROM documents), {front_of('normal')}, {back_of('fronted')}
-    SELECT doc_id, {strip(squeeze(strip_lines(blanks(squeeze(footnotes(without_headers('text')))))))} AS text FROM backed"""
-)
+def _cleaned_sql(text: str, author: P.Author | None = None) -> str:
+    return f"""WITH normal AS (SELECT doc_id, {ocr(text, author is not None)} AS text FROM documents), {front_of('normal')}, {back_of('fronted')}
+    SELECT doc_id, {strip(squeeze(strip_lines(blanks(squeeze(footnotes(without_headers('text', author)))))))} AS text FROM backed"""
+
+
+@query(_cleaned_sql("coalesce(text, '')"))
 def documents_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.clean_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaning.clean_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), publishers=PUBLISHERS)
+
+
+@query(_cleaned_sql(framed_sql(), AUTHOR))
+def cleaned_framed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.clean_documents(_framed(spark, sf_dir), author=AUTHOR, publishers=PUBLISHERS)
 
 
 @query(
-    f"""WITH l AS (SELECT doc_id, i - 1 AS i, {strip('ls[i]')} AS s, len(ls) AS n FROM
-        (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, {split('text')} AS ls FROM documents))),
-    flags AS (SELECT *, {has('s', P.SECTION_END)} OR {has('s', P.author_content())} AS e,
-        ({has('s', P.SECTION_TO_REMOVE)} OR {has('s', P.BY_SOMEBODY)}) AND NOT {has('s', P.author_content())} AS b FROM l),
+    f"""SELECT d.doc_id, length(coalesce(d.text, ''))::INT AS before, length(c.text)::INT AS after,
+    round(CASE WHEN d.text <> '' THEN 100.0 * length(c.text) / length(d.text) ELSE 0 END, 6) AS reduction
+    FROM documents d JOIN ({_cleaned_sql("coalesce(text, '')")}) c USING (doc_id)"""
+)
+def cleaning_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("given"), "text")
+    cleaned = cleaning.clean_documents(df, publishers=PUBLISHERS)
+    percent = F.round(cleaning.reduction(F.col("given"), F.col("text")), 6)
+    return cleaned.select("doc_id", F.length("given").alias("before"), F.length("text").alias("after"), percent.alias("reduction"))
+
+
+def _sections_sql(text: str, author: P.Author | None = None) -> str:
+    return f"""WITH l AS (SELECT doc_id, i - 1 AS i, {strip('ls[i]')} AS s, len(ls) AS n FROM
+        (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, {split(text)} AS ls FROM documents))),
+    flags AS (SELECT *, {has('s', P.SECTION_END)} OR {has('s', P.author_content(author))} AS e,
+        ({has('s', P.SECTION_TO_REMOVE)} OR {has('s', P.BY_SOMEBODY)}) AND NOT {has('s', P.author_content(author))} AS b FROM l),
     ends AS (SELECT *, min(CASE WHEN e THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM flags)
     SELECT doc_id, i::INT AS start_line, end_line::INT AS end_line, s AS heading FROM (SELECT doc_id, i, s, coalesce(nx, n) AS end_line,
         row_number() OVER (PARTITION BY doc_id, coalesce(nx, n) ORDER BY i) AS r FROM ends WHERE b) WHERE r = 1"""
-)
+
+
+@query(_sections_sql("text"))
 def removable_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.removable_sections(_table(spark, sf_dir, "documents"))
 
 
+@query(_sections_sql(framed_sql(), AUTHOR))
+def sections_framed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.removable_sections(_framed(spark, sf_dir), author=AUTHOR)
+
+
 # Paragraphs and sentences -------------------------------------------------------------------------------
 
 
@@ -276,7 +375,7 @@ def removable_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT d.doc_id, coalesce(string_agg(t, {NL} || {NL} ORDER BY para), '') AS text FROM documents d LEFT JOIN p USING (doc_id) GROUP BY d.doc_id"""
 )
 def lines_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", T.merge_lines(T.lines(F.col("text"))).alias("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", T.merge_text(F.col("text")).alias("text"))
 
 
 _PARAS = f"""list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), {q(chr(92) + 'n' + P.S + '*' + chr(92) + 'n')}), lambda x: {_SX}), lambda x: x <> '')"""
@@ -288,8 +387,8 @@ def paragraphs_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("n", "paragraph"))
 
 
-def _sentences_sql() -> str:
-    t = f"regexp_replace(text, {q(rf'\b({P.ABBREVIATIONS})\.{P.S}+')}, '\\1' || chr(1) || ' ', 'g')"
+def _sentences_sql(c: str = "text") -> str:
+    t = f"regexp_replace({c}, {q(rf'\b({P.ABBREVIATIONS})\.{P.S}+')}, '\\1' || chr(1) || ' ', 'g')"
     t = f"regexp_replace({t}, {q(rf'\b([A-Z])\.{P.S}+([A-Z])\.{P.S}+')}, '\\1' || chr(1) || ' \\2' || chr(1) || ' ', 'g')"
     t = f"regexp_replace({t}, {q(rf'\b(CW|cw){P.S}+([0-9])')}, '\\1' || chr(1) || '\\2', 'g')"
     t = f"""regexp_replace({t}, {q('([.!?])' + P.S + '+([A-Z"' + chr(39) + '])')}, '\\1' || chr(2) || '\\2', 'g')"""
@@ -321,14 +420,14 @@ def text_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Titles, chapters, concepts -----------------------------------------------------------------------------
 
 
-def _title_sql() -> str:
+def _title_sql(source: str = "epub_metadata") -> str:
     name = "regexp_replace(source_file, '(.)\\.[^.]*$', '\\1')"
     title = f"regexp_replace({name}, {q(rf'^\([^)]+\){P.S}*')}, '')"
     part = f"CASE WHEN len(string_split({title}, ' - ')) >= 2 THEN string_split({title}, ' - ')[2] ELSE {title} END"
     plain = strip(sub(f"regexp_replace(replace({part}, '_', ' '), {q(rf'{P.S}*\([0-9]{{4}}\){P.S}*$')}, '')", P.S + "+", " "))
     return f"""SELECT source_file, year, volume, CASE WHEN year IS NOT NULL AND NOT regexp_matches(t, '\\([0-9]{{4}}') THEN t || ' (' || year || ')' ELSE t END AS title
     FROM (SELECT source_file, list_last(regexp_extract_all({name}, '\\(([0-9]{{4}})\\)', 1)) AS year,
-    nullif(regexp_extract({name}, {q(rf'(?i)Volume{P.S}*([0-9]+)')}, 1), '') AS volume, {plain} AS t FROM epub_metadata)"""
+    nullif(regexp_extract({name}, {q(rf'(?i)Volume{P.S}*([0-9]+)')}, 1), '') AS volume, {plain} AS t FROM {source})"""
 
 
 @query(_title_sql())
@@ -337,6 +436,25 @@ def title_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("source_file", "m.year", "m.volume", "m.title")
 
 
+#: Keys of names that have a title of their own, and patterns of publishers that end a name.
+TITLES = [(0, "letters to", "The Letters"), (1, " and ", "Of Two Things"), (2, "seminar", "The Seminars")]
+TAILS = (f"{P.S}*(?:The|On|Notes)",)
+
+
+@query(
+    f"""WITH n AS (SELECT source_file, 'X - ' || replace(regexp_replace(source_file, '(.)\\.[^.]*$', '\\1'), ' - ', ' -') AS name FROM epub_metadata),
+    p AS (SELECT source_file, name, list_last(regexp_extract_all(name, '\\(([0-9]{{4}})\\)', 1)) AS year,
+        {strip(sub(f"regexp_replace(regexp_replace(replace(string_split(name, ' - ')[2], '_', ' '), {q(rf'(?is){P.S}*-{P.S}*(?:{TAILS[0]}).*$')}, ''), {q(rf'{P.S}*\([0-9]{{4}}\){P.S}*$')}, '')", P.S + "+", " "))} AS t,
+        CASE {" ".join(f"WHEN contains(lower(name), {q(key)}) THEN {q(title)}" for _, key, title in TITLES)} END AS known FROM n)
+    SELECT source_file, CASE WHEN year IS NOT NULL AND NOT regexp_matches(coalesce(known, t), '\\([0-9]{{4}}') THEN coalesce(known, t) || ' (' || year || ')' ELSE coalesce(known, t) END AS title FROM p"""
+)
+def titles_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles by a lexicon, and without publishers' tails: the names' own parts after a dash stand in for a publisher."""
+    files = _table(spark, sf_dir, "epub_metadata").select("source_file")
+    name = F.concat(F.lit("X - "), F.replace(T.file_stem(F.col("source_file")), F.lit(" - "), F.lit(" -")), F.lit(".txt"))
+    return files.select("source_file", T.work_metadata(name, TITLES, TAILS).title.alias("title"))
+
+
 @query(
     """SELECT m.source_file, arg_min(l.concept, l.ordinal) AS title FROM epub_metadata m
     LEFT JOIN lexicon l ON contains(lower(m.source_file), lower(l.concept)) GROUP BY m.source_file"""
@@ -427,11 +545,94 @@ def chapter_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Chunks -------------------------------------------------------------------------------------------------
 
 
-@query()
+def marks_of(source: str) -> str:
+    """CTEs that give ``marks(doc_id, char_index, label)`` of ``source(doc_id, source_file, text)``."""
+    return f"""
+    mlines AS (SELECT doc_id, lower(source_file) AS f, i, ls[i] AS x, {strip('ls[i]')} AS s FROM
+        (SELECT doc_id, source_file, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, source_file, string_split(text, {NL}) AS ls FROM {source}))),
+    mflags AS (SELECT *, (sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(x) - 1)::INT AS char_index,
+        {has('s', P.STANDARD_MARKER)} AS st, {has('s', P.SEMINAR_MARKER)} AS se, {has('s', P.LETTER_MARKER)} AS le,
+        {has('s', P.ESSAY_MARKER)} AND NOT {has('s', P.ESSAY_EXCLUDED)} AS es, contains(f, 'letters') OR contains(f, 'correspondence') AS il,
+        contains(f, 'collected works') AS iw FROM mlines),
+    mfirst AS (SELECT *, min(CASE WHEN st OR se OR (il AND le) OR (iw AND es AND length(s) > 10) THEN i END) OVER (PARTITION BY doc_id) AS first FROM mflags),
+    mparts AS (SELECT doc_id, char_index, CASE WHEN st THEN upper(h[1]) || lower(h[2:]) WHEN se THEN 'Seminar' WHEN le AND (il OR i > first) THEN 'Letter' ELSE 'Essay' END AS type,
+        CASE WHEN st THEN regexp_extract(s, {q(P.STANDARD_MARKER)}, 2) WHEN se THEN regexp_extract(s, {q(P.SEMINAR_MARKER)}, 2) ELSE '' END AS number,
+        CASE WHEN st THEN {strip(f'regexp_extract(s, {q(P.STANDARD_MARKER)}, 3)')} WHEN se THEN {strip(f'regexp_extract(s, {q(P.SEMINAR_MARKER)}, 3)')}
+            WHEN le AND (il OR i > first) THEN s ELSE array_to_string(list_transform(string_split(s, ' '), lambda y: upper(y[1]) || lower(y[2:])), ' ') END AS title
+        FROM (SELECT *, regexp_extract(s, {q(P.STANDARD_MARKER)}, 1) AS h FROM mfirst)
+        WHERE i >= first AND (st OR se OR (le AND (il OR i > first)) OR (es AND (iw OR i > first)))),
+    marks AS (SELECT doc_id, char_index, type || CASE WHEN number <> '' THEN ' ' || number ELSE '' END || CASE WHEN title <> '' THEN ': ' || title ELSE '' END AS label FROM mparts)"""
+
+
+def packed_of(source: str) -> str:
+    """The packer on ``source(doc_id, source_file, text)``: units in their order, the fold as a recursion over them, a step for
+    each unit of all texts at once, then the chunks."""
+    words = f"len(regexp_split_to_array(s, {q(P.S + '+')}))"
+    return f"""{marks_of(source)},
+    raw AS (SELECT doc_id, i, ps[i] AS x FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM
+        (SELECT doc_id, string_split(regexp_replace(text, {q(chr(92) + 'n' + P.S + '*' + chr(92) + 'n')}, chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS ps FROM {source}))),
+    spots AS (SELECT doc_id, i, {strip('x')} AS s, (sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) - length({sub('x', '^' + P.S + '+')}))::INT AS start FROM raw),
+    paras AS (SELECT *, start + length(s) AS stop, coalesce(lag(start + length(s)) OVER (PARTITION BY doc_id ORDER BY i), 0) AS before,
+        len(regexp_extract_all(s, {q(P.TOKEN)})) AS tokens FROM spots WHERE s <> ''),
+    held AS (SELECT p.*, m.label FROM (SELECT * FROM paras WHERE NOT ({words} >= 10 AND len(regexp_extract_all(s, {q(P.PAGE_REFERENCE)})) > 0.15 * {words})) p
+        ASOF LEFT JOIN marks m ON p.doc_id = m.doc_id AND p.start >= m.char_index),
+    said AS (SELECT * EXCLUDE (s), {_sentences_sql('s')} AS ss FROM held),
+    parts AS (SELECT doc_id, i, 0 AS j, 0 AS kind, array_to_string(ss, ' ') AS t, tokens, start, stop, before, label FROM said WHERE tokens <= {chunking.MAX_TOKENS}
+        UNION ALL SELECT doc_id, i, j, CASE WHEN j = 1 THEN 1 ELSE 2 END, ss[j], len(regexp_extract_all(ss[j], {q(P.TOKEN)})), start, stop, before, label
+        FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS j FROM said WHERE tokens > {chunking.MAX_TOKENS})),
+    units AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS n FROM parts),
+    fold AS (
+        SELECT doc_id, 0::BIGINT AS n, 0 AS g, 0::BIGINT AS total, NULL::VARCHAR AS chapter, 0 AS begun, NULL::INT AS closes FROM {source}
+        UNION ALL
+        SELECT doc_id, n, CASE WHEN g = 0 THEN 1 WHEN turn OR full_ THEN g + 1 ELSE g END, CASE WHEN turn OR full_ THEN 0 ELSE total END + tokens,
+            CASE WHEN turn THEN label ELSE chapter END, CASE WHEN turn OR full_ THEN start ELSE begun END,
+            CASE WHEN g > 0 AND turn THEN before WHEN full_ THEN CASE WHEN kind = 2 THEN stop ELSE start END END
+        FROM (SELECT *, NOT turn AND g > 0 AND (kind = 1 OR total + tokens > {chunking.TARGET_TOKENS}) AS full_
+            FROM (SELECT u.*, f.g, f.total, f.chapter, f.begun, u.kind <> 2 AND u.label IS DISTINCT FROM f.chapter AS turn
+                FROM fold f JOIN units u ON u.doc_id = f.doc_id AND u.n = f.n + 1))),
+    closed AS (SELECT doc_id, g - 1 AS g, closes FROM fold WHERE closes IS NOT NULL),
+    made AS (SELECT f.doc_id, f.g, any_value(f.chapter) AS chapter, min(f.begun) AS start_char,
+        regexp_replace(string_agg(CASE WHEN u.kind = 2 THEN ' ' ELSE chr(10) || chr(10) END || u.t, '' ORDER BY u.n), '^(?:\\n\\n| )', '') AS text
+        FROM fold f JOIN units u ON u.doc_id = f.doc_id AND u.n = f.n GROUP BY f.doc_id, f.g),
+    ended AS (SELECT m.*, d.source_file, coalesce(c.closes, length(d.text)) AS end_char, len(regexp_extract_all(m.text, {q(P.TOKEN)}))::INT AS token_count
+        FROM made m JOIN {source} d ON d.doc_id = m.doc_id LEFT JOIN closed c ON c.doc_id = m.doc_id AND c.g = m.g),
+    kept AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1)::INT AS chunk_index, (count(*) OVER (PARTITION BY doc_id))::INT AS total_chunks
+        FROM ended WHERE g = 1 OR token_count >= {chunking.MIN_TOKENS}),
+    keyed AS (SELECT *, substr(md5(source_file || ':' || start_char || ':' || end_char || ':' || chunk_index), 1, 16) AS id FROM kept),
+    tagged AS (SELECT k.doc_id, k.chunk_index, string_agg(l.concept, ',' ORDER BY l.ordinal) AS concepts
+        FROM keyed k JOIN lexicon l ON regexp_matches(regexp_replace(replace(k.text, 'ſ', 's'), '[\\x{{c0}}-\\x{{24f}}]', 'x', 'g'), '(?i)' || l.pattern) GROUP BY ALL)
+    SELECT k.doc_id, k.id, k.text, k.source_file, w.title AS work_title, k.chapter, k.chunk_index, k.total_chunks, k.token_count, length(k.text)::INT AS char_count,
+        k.start_char, k.end_char::INT AS end_char, lag(k.id) OVER o AS prev_chunk_id, lead(k.id) OVER o AS next_chunk_id, coalesce(t.concepts, '') AS concepts
+    FROM keyed k LEFT JOIN tagged t ON t.doc_id = k.doc_id AND t.chunk_index = k.chunk_index
+    LEFT JOIN ({_title_sql(f"(SELECT DISTINCT source_file FROM {source})")}) w ON w.source_file = k.source_file WINDOW o AS (PARTITION BY k.doc_id ORDER BY k.chunk_index)"""
+
+
+_NAMED = "named AS (SELECT doc_id, coalesce(source_file, doc_id::VARCHAR) AS source_file, coalesce(text, '') AS text FROM documents)"
+
+
+def _packed(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
+    lexicon = tagging.read_lexicon(_table(spark, sf_dir, "lexicon"), "ordinal", "concept", "pattern")
+    named = _table(spark, sf_dir, "documents").select(
+        "doc_id", F.coalesce("source_file", F.col("doc_id").cast("string")).alias("source_file"), text.alias("text")
+    )
+    return chunking.pack_chunks(named, lexicon=lexicon).withColumn("concepts", F.array_join("concepts", ","))
+
+
+@query(f"WITH RECURSIVE {_NAMED}, {packed_of('named')}")
 def chunks_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir, F.col("text"))
+
+
+@query(
+    f"""WITH RECURSIVE named AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Letters of ' WHEN 1 THEN 'Collected Works ' ELSE '' END || doc_id || '.txt' AS source_file,
+    {framed_sql()} AS text FROM documents), {packed_of('named')}"""
+)
+def chunks_framed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packer on texts with headings, paragraphs over the maximum and files of each kind."""
     lexicon = tagging.read_lexicon(_table(spark, sf_dir, "lexicon"), "ordinal", "concept", "pattern")
-    named = _table(spark, sf_dir, "documents").withColumn("source_file", F.coalesce("source_file", F.col("doc_id").cast("string")))
-    return chunking.pack_chunks(named, lexicon=lexicon)
+    kind = F.element_at(F.array(F.lit("Letters of "), F.lit("Collected Works "), F.lit("")), (F.col("doc_id") % 3 + 1).cast("int"))
+    named = _table(spark, sf_dir, "documents").select("doc_id", F.concat(kind, F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_file"), framed().alias("text"))
+    return chunking.pack_chunks(named, lexicon=lexicon).withColumn("concepts", F.array_join("concepts", ","))
 
 
 @query(
@@ -446,12 +647,22 @@ def chunk_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT source_file, count(*) AS chunks, round(avg(token_count), 6) AS avg_tokens, count(*) FILTER (len(concepts) > 0) AS with_concepts,
-    count(*) FILTER (coalesce(chapter, '') <> '') AS with_chapter FROM chunks GROUP BY source_file"""
+    count(*) FILTER (coalesce(chapter, '') <> '') AS with_chapter
+    FROM (SELECT DISTINCT ON (id) * FROM chunks ORDER BY id, ingested_at NULLS LAST) GROUP BY source_file"""
 )
 def chunk_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_statistics(_table(spark, sf_dir, "chunks"))
 
 
+@query(
+    """SELECT count(*) AS chunks, count(DISTINCT source_file) AS files, round(avg(token_count), 6) AS avg_tokens,
+    count(*) FILTER (len(concepts) > 0) AS with_concepts, count(*) FILTER (coalesce(chapter, '') <> '') AS with_chapter
+    FROM (SELECT DISTINCT ON (id) * FROM chunks ORDER BY id, ingested_at NULLS LAST)"""
+)
+def chunk_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk_totals(_table(spark, sf_dir, "chunks"))
+
+
 @query("SELECT id, substr(md5(source_file || ':' || start_char || ':' || end_char || ':' || chunk_index), 1, 16) AS made FROM (SELECT DISTINCT id, source_file, start_char, end_char, chunk_index FROM chunks)")
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "chunks").select("id", "source_file", "start_char", "end_char", "chunk_index").distinct()
@@ -466,6 +677,74 @@ def _deliveries(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return chunks.where(~late), chunks.where(late)
 
 
+# Sources: HTML, books and pages made of the given texts ------------------------------------------------------
+
+
+def _squeezed(expr: str) -> str:
+    return strip(sub(expr, P.S + "+", " "))
+
+
+def _html(paragraphs: Column, before: str = "", after: str = "") -> Column:
+    escaped = F.transform(paragraphs, lambda p: F.replace(F.replace(p, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")))
+    body = F.array_join(F.transform(escaped, lambda p: F.concat(F.lit("<p>"), p, F.lit("</p>"))), "")
+    return F.concat(F.lit("<html><head><title>x</title></head><body>" + before), body, F.lit(after + "</body></html>"))
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN len(ps) = 0 THEN 'Head' || {NL} || {NL} || 'Head' ELSE array_to_string(['Head ' || array_to_string(ps, ' '), 'Head'] || ps, {NL} || {NL}) END AS text
+    FROM (SELECT doc_id, list_filter(list_transform({_PARAS}, lambda x: {_squeezed('x')}), lambda x: x <> '') AS ps FROM documents)"""
+)
+def html_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of pages of HTML: a block that holds others is given with them, navigation and what follows is left out."""
+    df = _table(spark, sf_dir, "documents")
+    pages = df.select("doc_id", _html(T.paragraphs(F.col("text")), "<nav><p>Contents</p></nav><div><h1>Head</h1>", "</div><footer>Foot</footer>").alias("html"))
+    return html.html_texts(pages, "doc_id")
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, list_filter(list_transform({_PARAS}, lambda x: {_squeezed('x')}), lambda x: x <> '') AS ps FROM documents),
+    c AS (SELECT doc_id, array_to_string(ps, {NL} || {NL}) AS one, array_to_string(['Chapter two'] || list_reverse(ps), {NL} || {NL}) AS two FROM p)
+    SELECT doc_id || '.epub' AS source_file, CASE WHEN length(one) > 100 THEN two || {NL} || {NL} || one ELSE two END AS text FROM c WHERE length(two) > 100"""
+)
+def book_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of EPUB files, one a document: two chapters of which the spine names the second first, and a page of contents."""
+    parts = T.paragraphs(F.col("text"))
+    files = books.pack_books(
+        _table(spark, sf_dir, "documents").select(
+            F.concat(F.col("doc_id").cast("string"), F.lit(".epub")).alias("source_file"),
+            F.array(
+                F.struct(F.lit("one.xhtml").alias("href"), _html(parts).alias("html")),
+                F.struct(F.lit("nav.xhtml").alias("href"), F.lit("<html><body><nav><p>One</p></nav></body></html>").alias("html")),
+                F.struct(F.lit("two.xhtml").alias("href"), _html(F.reverse(parts), "<h1>Chapter two</h1>").alias("html")),
+            ).alias("items"),
+            F.array(F.lit("two.xhtml"), F.lit("one.xhtml")).alias("spine"),
+        )
+    )
+    return books.book_texts(books.epub_items(files))
+
+
+_PAGE_LINES = f"""list_filter(string_split(coalesce(text, ''), {NL}), lambda x: NOT (length({_SX}) < 3 OR {has(_SX, P.page_header(AUTHOR, 'some series'))}))"""
+
+
+@query(
+    f"""WITH pages AS (SELECT doc_id, array_to_string({_PAGE_LINES} || [''] || ['It ended.', ''], {NL}) AS t FROM documents),
+    clean AS (SELECT doc_id, {strip_lines(blanks(sub(dashes(dehyphen('t')), '[\\x{0}-\\x{8}\\x{b}\\x{c}\\x{e}-\\x{1f}]')))} AS t FROM pages),
+    l AS (SELECT doc_id, i, ls[i] AS x, {strip('ls[i]')} AS s FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(t, {NL}) AS ls FROM clean))),
+    b AS (SELECT *, coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY i), '') AS before FROM l),
+    g AS (SELECT *, sum(CASE WHEN before = '' OR ({has('before', '[.!?:"]' + chr(92) + 'z')} AND {has('s', chr(92) + 'A' + chr(92) + 'p{Lu}')})
+        OR {has('s', P.HEADING_START)} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS para FROM b WHERE s <> ''),
+    p AS (SELECT doc_id, para, string_agg(s, ' ' ORDER BY i) AS t FROM g GROUP BY doc_id, para)
+    SELECT doc_id, string_agg(t, {NL} || {NL} ORDER BY para) AS text FROM p GROUP BY doc_id"""
+)
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of pages of blocks: headers and footers of a page go, pictures are left out, lines become paragraphs."""
+    block = lambda text, kind: F.struct(text.alias("text"), F.lit(kind).alias("kind"))
+    first = F.array(block(F.coalesce(F.col("text"), F.lit("")), 0), block(F.lit("picture"), 1))
+    second = F.array(block(F.lit("THE COLLECTED WORKS\n12\nSome series, vol. 2\nM. C. Stone\nIt ended.\n- 13 -"), 0))
+    df = _table(spark, sf_dir, "documents")
+    return df.select("doc_id", books.page_text(F.array(first, second), AUTHOR, "some series").alias("text"))
+
+
 # The vector table ---------------------------------------------------------------------------------------
 
 
@@ -495,7 +774,7 @@ def upload_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexing.batch_sizes(indexing.numbered_batches(ids))
 
 
-@query("SELECT coalesce(len(\"values\"), -1)::INT AS dimension, count(*) AS vectors FROM vectors GROUP BY 1")
+@query("SELECT coalesce(len(\"values\"), -1)::INT AS dimension, count(DISTINCT id) AS vectors FROM vectors GROUP BY 1")
 def index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexing.index_statistics(_table(spark, sf_dir, "vectors"))
 
@@ -540,6 +819,16 @@ def relevant_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "rank", "id", F.round("score", 6).alias("score"), "work_title", "chapter")
 
 
+@query(
+    _HITS
+    + f"""SELECT query_id, rank, '[' || rank || '] ' || work_title || CASE WHEN chapter IS NOT NULL THEN ' — ' || shown ELSE '' END AS line
+    FROM (SELECT *, {_display_sql('chapter')} AS shown FROM h)"""
+)
+def hit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, hits = _hits(spark, sf_dir)
+    return hits.select("query_id", "rank", retrieval.hit_line(F.col("rank"), F.col("work_title"), F.col("chapter")).alias("line"))
+
+
 _CITE = "'[' || rank || '] ' || work_title || CASE WHEN chapter IS NOT NULL THEN ', ' || chapter ELSE '' END"
 
 

@@ -12,13 +12,14 @@ from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 from urllib.parse import unquote
 from xml.etree import ElementTree
+from xml.sax.saxutils import quoteattr
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.patterns import Author
-from quillspark.functions.text import clean_extracted, is_page_header, lines, merge_lines, squeeze_breaks, strip, unlines
+from quillspark.functions.text import clean_extracted, is_page_header, lines, merge_text, squeeze_breaks, strip, unlines
 from quillspark.sources.html import html_text, is_navigation
 
 LEAST_CHAPTER = 100
@@ -50,10 +51,11 @@ def unpack(content: bytes) -> tuple[list[tuple], dict[str, str]]:
         path = next(x.attrib["full-path"] for x in container.iter() if x.tag.endswith("rootfile"))
         package = ElementTree.fromstring(book.read(path))
         base = PurePosixPath(path).parent
-        metadata = {}
+        metadata = dict.fromkeys(METADATA, "")
         for name in METADATA:
             found = next(package.iter(f"{_DC}{name}"), None)
-            metadata[name] = (found.text or "") if found is not None else ""
+            if found is not None:
+                metadata[name] = found.text or ""
         manifest = [x for x in package.iter(f"{_OPF}item")]
         spine = [x.attrib.get("idref", "") for x in package.iter(f"{_OPF}itemref")]
         items = []
@@ -67,6 +69,29 @@ def unpack(content: bytes) -> tuple[list[tuple], dict[str, str]]:
         return items, metadata
 
 
+def pack_books(books: DataFrame) -> DataFrame:
+    """``source_file, content``: EPUB files of ``source_file, items`` (an array of href and html) and ``spine`` (an array of hrefs)."""
+
+    def pack(items: list, spine: list) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+            book.writestr("mimetype", "application/epub+zip", zipfile.ZIP_STORED)
+            rootfile = '<rootfile full-path="content.opf" media-type="application/oebps-package+xml"/>'
+            book.writestr("META-INF/container.xml", f'<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles>{rootfile}</rootfiles></container>')
+            manifest = "".join(f'<item id={quoteattr(x["href"])} href={quoteattr(x["href"])} media-type="application/xhtml+xml"/>' for x in items)
+            refs = "".join(f"<itemref idref={quoteattr(x)}/>" for x in spine)
+            book.writestr("content.opf", f'<package xmlns="{_OPF[1:-1]}"><manifest>{manifest}</manifest><spine>{refs}</spine></package>')
+            for x in items:
+                book.writestr(x["href"], x["html"].encode("utf-8", "replace"))
+        return out.getvalue()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"source_file": pdf["source_file"], "content": [pack(i, s) for i, s in zip(pdf["items"], pdf["spine"])]})
+
+    return books.select("source_file", "items", "spine").mapInPandas(run, "source_file string, content binary")
+
+
 def epub_items(files: DataFrame) -> DataFrame:
     """One row for each document of each book, with its text; an unreadable book gives one row with its error."""
 
@@ -129,7 +154,7 @@ def page_text(pages: Column, author: Author | None = None, series: str | None =
         return F.array_append(F.filter(rows, lambda x: ~is_page_header(x, author, series)), F.lit(""))
 
     text = clean_extracted(unlines(F.flatten(F.transform(pages, page))))
-    return strip(squeeze_breaks(merge_lines(F.split(text, "\n", -1))))
+    return strip(squeeze_breaks(merge_text(text)))
 
 
 def pages_of(files: DataFrame, decode: Callable[[bytes], list[list[tuple[str, int]]]]) -> DataFrame:

@@ -6,6 +6,10 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 #: The elements that make blocks, and those that are dropped with all they hold.
 BLOCKS = ("p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "li", "td", "th", "article", "section")
 DROPPED = ("script", "style", "nav", "header", "footer")
@@ -109,3 +113,14 @@ def is_navigation(name: str, html: str | bytes) -> bool:
         if len(whole.replace(inner, "")) < 100:
             return True
     return any(n.attrs.get("epub:type") in ("toc", "landmarks") for n in root.walk())
+
+
+def html_texts(pages: DataFrame, key: str, html: str = "html", leaves_only: bool = False) -> DataFrame:
+    """``key, text`` of each page; a map over Arrow batches."""
+    kind = pages.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"k": pdf["k"], "text": [html_text(x, leaves_only) for x in pdf["h"]]})
+
+    return pages.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInPandas(run, f"k {kind}, text string").withColumnRenamed("k", key)

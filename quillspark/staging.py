@@ -28,12 +28,23 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a new temporary one where that is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir, under it one for this application.
+
+    Where it is unset, a new temporary folder is taken on a local master, as in tests; on a cluster that is an error, as
+    each executor would write to a disk of its own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return f"{folder.rstrip('/')}/quillspark-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -41,4 +52,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(table)] = (table, path)
+    return table
+
+
+#: The tables of ``written`` by the identity of their DataFrame, which is held so that the identity stays its own.
+_PATHS: dict[int, tuple[DataFrame, str]] = {}
+
+
+def unwritten(table: DataFrame) -> None:
+    """Deletes a table of ``written`` that nothing will read any more."""
+    known = _PATHS.pop(id(table), None)
+    if known is not None:
+        _delete(table.sparkSession, known[1])
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that ``written`` made in this application, once results are stored elsewhere."""
+    _PATHS.clear()
+    _delete(spark, shared_folder(spark))

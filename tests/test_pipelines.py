@@ -155,3 +155,92 @@ def test_stream(spark, tmp_path):
         chunk_stream(text_stream(spark, str(tmp_path / "in")), table, str(tmp_path / "cp")).awaitTermination()
         arrive("b.txt", prose, "2024-01-02")
     assert {r.source_file for r in current_version(spark, table).collect()} == {"a.txt", "b.txt"}
+
+
+def test_stream_replaces_a_text(spark, tmp_path):
+    """A text that comes again with fewer chunks leaves none behind; an older delivery changes nothing; old files go."""
+    table, prose = str(tmp_path / "table"), "Some words about the river and the bridge. " * 20
+
+    def arrive(*rows):
+        df = spark.createDataFrame(rows, "source_file string, text string, at string")
+        df.select("source_file", "text", F.to_timestamp("at").alias("arrived")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        chunk_stream(text_stream(spark, str(tmp_path / "in")), table, str(tmp_path / "cp")).awaitTermination()
+        return {(r.source_file, r.chunk_index): r.text for r in current_version(spark, table).collect()}
+
+    long = "\n\n".join(f"{k} " + prose for k in range(6))
+    first = arrive(("a.txt", long, "2024-01-02"), ("b.txt", prose, "2024-01-01"))
+    count = sum(k[0] == "a.txt" for k in first)
+    assert count > 1 and ("b.txt", 0) in first
+    second = arrive(("a.txt", "New: " + prose, "2024-01-03"))
+    assert sum(k[0] == "a.txt" for k in second) == 1 and second["a.txt", 0].startswith("New") and second["b.txt", 0] == first["b.txt", 0]
+    assert arrive(("a.txt", long, "2024-01-01"), ("c.txt", prose, "2024-01-01")) == second | {("c.txt", 0): second["b.txt", 0]}
+    arrive(("a.txt", None, "2024-01-04"))
+    assert sum(k[0] == "a.txt" for k in ((r.source_file, 0) for r in current_version(spark, table).collect())) == 0
+    assert len(list((tmp_path / "table" / "data").glob("*/bucket=*"))) <= 5
+
+
+def test_failed_questions_have_their_error(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def embed(texts):
+        calls.add(len(texts))
+        if any("bad" in t for t in texts):
+            raise ValueError("no")
+        return [[1.0, 0.0]] * len(texts)
+
+    vectors = spark.createDataFrame(
+        [("v", [1.0, 0.0], ("W", None, "text"))], "id string, values array<float>, metadata struct<work_title:string,chapter:string,text:string>"
+    )
+    questions = spark.createDataFrame([(1, "good", None), (2, "bad", None)], "query_id int, query string, history array<struct<role:string,content:string>>").repartition(2, "query_id")
+    out = {r.query_id: r for r in ask(questions, vectors, embed, 2, lambda system, messages: "yes").collect()}
+    assert out[1].message == "yes" and out[1].hits == 1 and out[1].embedding_error is None
+    assert out[2].message is None and out[2].system is None and out[2].embedding_error == "ValueError: no"
+    assert calls.value == 2
+
+
+@pytest.mark.parametrize("queries,k", [(3, 2), (700, 6)])
+def test_top_similar_equals_brute_force(spark, queries, k):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x, q = rng.integers(-2, 3, (900, 4)).astype(float), rng.integers(-2, 3, (queries, 4)).astype(float)
+    rows = spark.createDataFrame([(i, x[i].tolist()) for i in range(900)], "id int, values array<double>").repartition(4)
+    asked = spark.createDataFrame([(f"q{i}", q[i].tolist()) for i in range(queries)], "query_id string, values array<double>")
+    got = {}
+    for r in retrieval.top_similar(asked, rows, 4, k=k).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(round(r.score, 9))
+    good = np.flatnonzero(x.any(1))
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    for i in range(queries):
+        expected = sorted((unit(x[good]) @ unit(q[i : i + 1])[0]).tolist(), reverse=True)[:k] if q[i].any() else []
+        assert got.get(f"q{i}", []) == [round(s, 9) for s in expected]
+
+
+def test_shared_folder_of_a_cluster_must_be_named():
+    from types import SimpleNamespace
+
+    from quillspark import staging
+
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master=master, applicationId="a"))
+        with pytest.raises(RuntimeError):
+            staging.shared_folder(fake)
+
+
+def test_steps_from_the_command_line(spark, tmp_path, capsys):
+    from quillspark.__main__ import main
+
+    prose = "<p>" + "The golden wolf crosses the silent river at night, and the old woman waits. " * 30 + "</p>"
+    items = [("one.xhtml", f"<html><body><h1>CHAPTER I: Wolf</h1>{prose}</body></html>")]
+    df = spark.createDataFrame([("a.epub", items, ["one.xhtml"])], "source_file string, items array<struct<href:string,html:string>>, spine array<string>")
+    (tmp_path / "books").mkdir()
+    (tmp_path / "books" / "a.epub").write_bytes(bytes(books.pack_books(df).first().content))
+    (tmp_path / "books" / "b.epub").write_bytes(b"no zip")
+    at = lambda name: str(tmp_path / name)
+    main(["epub", at("books"), at("extracted")])
+    main(["clean", at("extracted"), at("cleaned"), "--author", "Maria", "Stone"])
+    main(["chunk", at("cleaned"), at("chunks")])
+    main(["evaluate", at("cleaned")])
+    out = capsys.readouterr().out
+    assert "BadZipFile" in out and "avg_score" in out
+    assert read_chunks(spark, at("chunks-all") + "/*.json", True).first().chapter == "Chapter I: Wolf"

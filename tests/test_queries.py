@@ -9,7 +9,7 @@ import pytest
 
 from quillspark import queries as core
 
-WITHOUT_SQL = {"chunks_packed"}
+WITHOUT_SQL = set()
 
 
 def rows(frame):

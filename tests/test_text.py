@@ -1,5 +1,7 @@
 """Micro-cases of texts and lines."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +131,43 @@ def test_cosine(spark):
 def test_cleaning_leaves_no_gaps(spark, data):
     out = cleaning.clean_documents(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text"))
     assert out.where(F.col("text").rlike("\n{3,}") | F.col("text").isNull() | F.col("text").contains("  ")).count() == 0
+
+
+def test_needed_words_of_patterns():
+    from quillspark.operators.tagging import needed
+
+    assert needed(r"\bthresholds?\b") == ["threshold"] and needed(r"\b(sea|ship)\b") == ["sea", "ship"] and needed("whole(ness)?") == ["whole"]
+    assert needed(r"\bdream(s|er|ers)?\b") == ["dream"] and needed(r"sea|ship") == [] and needed(r"s?ea.*") == [] and needed("A") == []
+
+
+def test_tags_in_any_case(spark):
+    from quillspark.operators.tagging import concept_tags
+
+    lexicon = [(0, "sea", r"\b(sea|ship)\b"), (1, "dream", r"\bdream(s|er)?\b"), (2, "upper", r"\bRiver\b"), (3, "space", r"old\sman"), (4, "kin", "kin")]
+    rows = [("The SEA and Dreamer", ["sea", "dream"]), ("undersea dreaming", []), ("RIVER ſhip", ["sea", "upper"]), ("OLD  MAN", []), ("Old Man \u212ain", ["space", "kin"]), (None, []), ("", [])]
+    df = spark.createDataFrame(rows, "t string, expected array<string>")
+    assert all(r.tags == r.expected for r in df.select(concept_tags(F.col("t"), lexicon).alias("tags"), "expected").collect())
+
+
+def test_rules_of_lines_in_whole_texts(spark):
+    """What is found over the whole text is what is found line by line."""
+    from quillspark.functions import patterns as P
+    from quillspark.operators import cleaning
+
+    author = P.Author("Maria", "Stone", "Clara")
+    words = ["A long line of prose, which has more than ten words and is longer than eighty characters in all of it.", "SHORT CAPS LINE", "12", "  - 7 -  ", "", " \t ",
+             "Copyright 1950", "x published by y", "CONTENTS", "Index", "M. C. STONE", "Chapter 4", "II.", "A LINE OF CAPITALS, WHICH HAS MORE THAN TEN WORDS AND IS LONGER THAN EIGHTY CHARACTERS IN ALL.", "12 May 1931", "ISBN 1-2", "Chronology of", "a\rb", "\u2028x"]
+    rng = random.Random(8)
+    texts = ["\n".join(rng.choice(words) for _ in range(rng.randint(1, 12))) for _ in range(200)] + ["", None, "\n", "\n\n12\n", "12", "12\n12"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    lines = df.select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("n", "x"))
+    header = T.is_clean_header(F.col("x"), author)
+    slow = lines.groupBy("doc_id").agg(
+        F.count_if(T.strip(F.col("x")) == "").alias("blank"), F.count_if(header).alias("headers"), F.count_if((T.strip(F.col("x")) != "") & T.is_toc_line(F.col("x"))).alias("toc"),
+        F.count_if(T.is_front_matter(F.col("x"))).alias("front"), F.count_if(T.is_back_heading(T.strip(F.col("x")))).alias("back"),
+        F.count_if(T.is_section_to_remove(T.strip(F.col("x")), author)).alias("sections"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~header, F.struct("n", "x")))), lambda r: r.x), "\n").alias("kept"),
+    )
+    fast = cleaning.line_classes(df, author=author).join(df.select("doc_id", cleaning.drop_headers(F.col("text"), author).alias("kept")), "doc_id")
+    names = ["doc_id", "blank", "headers", "toc", "front", "back", "sections", "kept"]
+    assert sorted(map(tuple, fast.select(names).collect())) == sorted(map(tuple, slow.select(names).collect()))
