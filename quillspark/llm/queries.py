@@ -117,7 +117,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     common = common_words(table(spark, sf_dir, "common_words"))
-    return repair(table(spark, sf_dir, "chunks"), common)
+    return repair(table(spark, sf_dir, "chunks"), common, once=True)
 
 
 @query
