@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.staging import ship, written
+from quillspark.staging import ship, unwritten, written
 
-__all__ = ["ship", "table", "written"]
+__all__ = ["ship", "table", "unwritten", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

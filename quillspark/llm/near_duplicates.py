@@ -10,7 +10,9 @@ exactly on the whole texts.
 
 The shards' trees are not broadcast: their total size grows with the collection
 and has no bound, so each tree is built where its shard's texts come together,
-in one pass over rows sorted by band key.  A band key that over ``SHARD_ROWS``
+in one pass over rows sorted by band key.  One tree over all sketches does not
+prune: unrelated sketches lie about half their bits apart, all at nearly the same
+distance, so that the edges within any useful radius are nearly all (README).  A band key that over ``SHARD_ROWS``
 texts share is passed on and divided: texts are put into blocks by hash, and
 each pair of blocks is a shard of its own, so no task holds more than two blocks.
 
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import written
+from quillspark.llm.common import unwritten, written
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 BANDS, BAND_ROWS, BITS = 44, 3, 128
@@ -43,6 +45,8 @@ BANDS, BAND_ROWS, BITS = 44, 3, 128
 SHARD_ROWS = 4_096
 #: Word hashes and classes that a worker remembers; emptied when full.
 REMEMBERED = 400_000
+#: Sets of classes that a task keeps while it checks pairs.
+KEPT_SETS = 2_000
 #: Classes in candidate pairs up to which their keys (16 bytes each) are broadcast to choose texts.
 BROADCAST_KEYS = 500_000
 
@@ -152,10 +156,6 @@ class BKTree:
 def shard_pairs(keys: list[int], sketches: list[int], radius: int, others: tuple[list[int], list[int]] | None = None) -> set:
     """Pairs of keys whose sketches lie within the radius, inside a shard or between it and ``others``."""
     out: set[tuple[int, int]] = set()
-    if others is None and len(keys) == 2:
-        if keys[0] != keys[1] and (sketches[0] ^ sketches[1]).bit_count() <= radius:
-            out.add((min(keys), max(keys)))
-        return out
     tree = BKTree()
     held: list[list[int]] = []
     for key, sketch in zip(keys, sketches):
@@ -367,13 +367,26 @@ def similar_pairs(
     texts = source.join(F.broadcast(speakers) if small else speakers, "id")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, np.ndarray] = {}
+
+        def set_of(key: int, text: pa.Scalar) -> np.ndarray:
+            """A class' set, made once for its pairs in this task; empty where the text is of another class."""
+            if key not in kept:
+                found = shingles(text.as_py(), width)
+                # an id that came with several texts speaks for the class of each: only that text counts
+                if not len(found) or class_keys(found, [0])[0] != key:
+                    return found[:0]
+                if len(kept) >= KEPT_SETS:
+                    kept.clear()
+                kept[key] = found
+            return kept[key]
+
         for batch in batches:
             a, b, x, y = batch.columns
             score = []
             for i, j, s, t in zip(a.to_pylist(), b.to_pylist(), x, y):
-                p, q = shingles(s.as_py(), width), shingles(t.as_py(), width)
-                # an id that came with several texts speaks for the class of each: only that text counts
-                if not (len(p) and len(q) and class_keys(p, [0])[0] == i and class_keys(q, [0])[0] == j):
+                p, q = set_of(i, s), set_of(j, t)
+                if not (len(p) and len(q)):
                     score.append(-1.0)
                     continue
                 both = len(np.intersect1d(p, q, assume_unique=True))
@@ -414,7 +427,7 @@ def groups(found: ClassPairs, most_rounds: int = 60) -> DataFrame:
     """
     both = found.pairs.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
     links = written(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-links")
-    labels = written(links.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct(), "near-labels")
+    held = labels = written(links.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct(), "near-labels")
     for _ in range(most_rounds):
         near = links.join(labels, links["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("least"))
         spread = labels.join(near, labels["node"] == near["a"], "left").select(
@@ -424,9 +437,10 @@ def groups(found: ClassPairs, most_rounds: int = 60) -> DataFrame:
         moved = spread.join(jump, spread["next"] == jump["at"], "left").select(
             "node", F.least("next", F.coalesce("far", "next")).alias("label"), (F.least("next", F.coalesce("far", "next")) != F.col("label")).alias("new")
         )
-        moved = written(moved, "near-labels")
-        labels = moved.select("node", "label")
-        if moved.where("new").limit(1).count() == 0:
+        before, held = held, written(moved, "near-labels")
+        unwritten(before)
+        labels = held.select("node", "label")
+        if held.where("new").limit(1).count() == 0:
             break
     else:
         raise RuntimeError("the groups did not settle")

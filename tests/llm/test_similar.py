@@ -46,7 +46,11 @@ def test_neighbours(spark):
     truth = brute(x / np.linalg.norm(x, axis=1)[:, None], 5)
     # one shard, several shards, and shards that are split
     # (with shards of 20 rows also several tasks for one part)
-    for options in ({}, {"shard_rows": 150}, {"shard_rows": 60, "sample_rows": 300}, {"shard_rows": 20, "sample_rows": 300, "probes": 8, "margin": 0.4}):
+    # (and two levels of shards, also with crowded ones)
+    for options in (
+        {}, {"shard_rows": 150}, {"shard_rows": 60, "sample_rows": 300}, {"shard_rows": 20, "sample_rows": 300, "probes": 8, "margin": 0.4},
+        {"shard_rows": 60, "first_level": 4, "probes": 5, "margin": 0.3}, {"shard_rows": 15, "first_level": 6, "probes": 8, "margin": 0.4},
+    ):
         got = neighbours.nearest(df, dim=16, **options).collect()
         found = {}
         for r in got:
@@ -66,6 +70,9 @@ def test_neighbours_of_equal_and_few_vectors(spark):
         got.setdefault(r.id, []).append((r.rank, r.neighbour))
     assert [n for _, n in sorted(got["a0"])] == ["a1", "a2", "a3"]
     assert [n for _, n in sorted(got["b"])] == ["a0", "a1", "a2"]
+    for first_level in (1, 3):
+        two = {(r.id, r.neighbour, r["rank"]) for r in neighbours.nearest(df, dim=2, k=3, shard_rows=2, first_level=first_level, probes=9, margin=2.0).collect()}
+        assert two == {(r.id, r.neighbour, r["rank"]) for r in neighbours.nearest(df, dim=2, k=3).collect()}
     assert neighbours.nearest(df.limit(0), dim=2).count() == 0
     assert neighbours.nearest(df.limit(1), dim=2).count() == 0
 
