@@ -1,10 +1,10 @@
 """Lines repeated over the texts of one source, by line counts kept per source.
 
 The state is a table with, for each source and line, the number of different
-texts that have the line.  A new partition of texts is counted by itself and
-merged into the state as a delta; the lines whose count comes to the threshold
-by that merge are the newly crossed ones, and only texts that contain one of
-them are rebuilt.
+texts that have the line (``LineCounts``, under a path, from run to run).  A new
+partition of texts is counted by itself and merged into the state as a delta;
+the lines whose count comes to the threshold by that merge are the newly crossed
+ones, and only texts that contain one of them are rebuilt (``rebuilt_texts``).
 
 A line is compared lower-cased and trimmed, a run of spaces, tabs, carriage
 returns and no-break spaces as one space and a run of digits as one 0.  Lines
@@ -17,13 +17,18 @@ it comes again in a later partition.  Lines are known by 96 bits of hashes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import written
+from quillspark.staging import shared_folder
 
 MIN_TEXTS, MIN_LETTERS = 8, 25
 KEY = ["source_key", "line_key", "line_check"]
+LINES = "id string, line_no int, source_key long, line_key long, line_check int"
+COUNTS = "source_key long, line_key long, line_check int, texts long"
+PLACES = "id string, line_no int"
 
 
 def comparable(line: Column) -> Column:
@@ -90,6 +95,15 @@ def without_lines(chunks: DataFrame, places: DataFrame, id_col: str = "id", text
     return rows.select("id", F.array_join(kept, "\n").alias("text")).dropDuplicates(["id"])
 
 
+def rebuilt_texts(
+    chunks: DataFrame, table: LineCounts, added: DataFrame, id_col: str = "id", text: str = "text"
+) -> DataFrame:
+    """``id, text`` of the texts that a merge concerns (``added``, what it gave), without all their crossed lines; of all
+    others what was made of them before still holds."""
+    concerned = added.select("id").distinct()
+    return without_lines(chunks, table.places().join(concerned, "id", "left_semi"), id_col, text)
+
+
 def cleaned_texts(chunks: DataFrame, places: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
     """``id, text``: every text, once each, without such lines; texts without them (null and empty ones too) as they stand."""
     gone = places.groupBy("id").agg(F.collect_set("line_no").alias("_gone"))
@@ -99,27 +113,89 @@ def cleaned_texts(chunks: DataFrame, places: DataFrame, id_col: str = "id", text
     return rows.select("id", whole.alias("text")).dropDuplicates(["id"])
 
 
-def repeated_lines(
-    first: DataFrame, later: list[DataFrame], min_texts: int = MIN_TEXTS, min_letters: int = MIN_LETTERS,
-    id_col: str = "id", text: str = "text", source: str = "source_file",
-) -> DataFrame:
-    """``id, line_no`` after a first load and later partitions, each merged as a delta.
+class LineCounts:
+    """The count table of a corpus under a path, kept from run to run.
 
-    A later partition costs its own lines, a merge of counts, and a join of the
-    newly crossed lines with the lines kept so far.
+    ``lines``: the keys of every line of every text that came, in which texts of before are looked up; ``counts``: by source
+    and line, the number of texts; ``places``: the places of crossed lines that have been told. ``lines`` and ``places`` are
+    added to; ``counts`` is written anew by each merge, since a merge changes a count wherever a line comes again, and the
+    newest complete version counts. A merge that was cut off is done again under the same number.
     """
 
-    def keyed(part: DataFrame) -> DataFrame:
-        return written(line_rows(part, id_col, text, source, min_letters), "lines")
-
-    lines = keyed(first)
-    state = written(count_lines(lines), "line-counts") if later else count_lines(lines)
-    found = occurrences(lines, crossed(state, min_texts))
-    for part in later:
-        fresh = unseen(keyed(part), lines)
-        after = written(merge_counts(state, count_lines(fresh)), "line-counts")
-        new = newly_crossed(state, after, min_texts)
-        # texts of before that contain newly crossed lines, and all crossed lines of the new texts
-        found = found.unionByName(occurrences(lines, new)).unionByName(occurrences(fresh, crossed(after, min_texts)))
-        lines, state = lines.unionByName(fresh), after
-    return found.distinct() if later else found
+    def __init__(
+        self, spark: SparkSession, path: str, min_texts: int = MIN_TEXTS, min_letters: int = MIN_LETTERS, id_col: str = "id",
+        text: str = "text", source: str = "source_file",
+    ):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.min_texts, self.min_letters = min_texts, min_letters
+        self.columns = (id_col, text, source)
+        self._jvm = spark._jvm.org.apache.hadoop.fs
+        self._files = self._jvm.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def merges(self) -> int:
+        """How many partitions have been merged."""
+        folder = self._jvm.Path(f"{self.path}/counts")
+        if not self._files.exists(folder):
+            return 0
+        names = [s.getPath().getName() for s in self._files.listStatus(folder)]
+        done = [int(n) for n in names if n.isdigit() and self._files.exists(self._jvm.Path(f"{self.path}/counts/{n}/_SUCCESS"))]
+        return max(done, default=0)
+
+    def _read(self, name: str, upto: int) -> DataFrame:
+        """What has been added to a table by the first ``upto`` merges."""
+        return self.spark.read.schema(LINES if name == "lines" else PLACES).parquet(*[f"{self.path}/{name}/{k}" for k in range(1, upto + 1)])
+
+    def counts(self) -> DataFrame | None:
+        number = self.merges()
+        return self.spark.read.schema(COUNTS).parquet(f"{self.path}/counts/{number}") if number else None
+
+    def places(self) -> DataFrame:
+        """``id, line_no`` of every crossed line so far."""
+        number = self.merges()
+        if not number:
+            return self.spark.createDataFrame([], PLACES)
+        return self._read("places", number).select("id", "line_no").distinct()
+
+    def merge(self, part: DataFrame) -> DataFrame:
+        """Merges a partition; gives ``id, line_no`` of what it adds: places of newly crossed lines in texts of before, and of
+        all crossed lines in its own texts. Those are the texts to rebuild.
+
+        A partition costs its own lines, a merge of counts, and a join of the newly crossed lines with the lines kept.
+        """
+        number = self.merges()
+        before = self.counts()
+        last, now = f"{self.path}/counts/{number}", number + 1
+        fresh = line_rows(part, *self.columns, self.min_letters)
+        if number:
+            kept = self._read("lines", number)
+            fresh = unseen(fresh, kept)
+        fresh.write.mode("overwrite").parquet(f"{self.path}/lines/{now}")
+        fresh = self.spark.read.schema(LINES).parquet(f"{self.path}/lines/{now}")
+        delta = count_lines(fresh)
+        after = merge_counts(before, delta) if number else delta
+        # the version is complete when its places are told as well: it is written beside and moved at last
+        beside = f"{self.path}/counts/_{now}"
+        after.write.mode("overwrite").parquet(beside)
+        state = self.spark.read.schema(COUNTS).parquet(beside)
+        found = occurrences(fresh, crossed(state, self.min_texts))
+        if number:
+            found = found.unionByName(occurrences(kept, newly_crossed(before, state, self.min_texts)))
+        found.write.mode("overwrite").parquet(f"{self.path}/places/{now}")
+        self._files.delete(self._jvm.Path(f"{self.path}/counts/{now}"), True)
+        self._files.rename(self._jvm.Path(beside), self._jvm.Path(f"{self.path}/counts/{now}"))
+        if number:
+            self._files.delete(self._jvm.Path(last), True)
+        return self.spark.read.schema(PLACES).parquet(f"{self.path}/places/{now}")
+
+
+def repeated_lines(
+    first: DataFrame, later: list[DataFrame], min_texts: int = MIN_TEXTS, min_letters: int = MIN_LETTERS,
+    id_col: str = "id", text: str = "text", source: str = "source_file", path: str | None = None,
+) -> DataFrame:
+    """``id, line_no`` after a first load and later partitions, each merged as a delta; the table is kept under ``path``, or in
+    the shared folder for this run."""
+    spark = first.sparkSession
+    table = LineCounts(spark, path or f"{shared_folder(spark)}/line-counts-{uuid.uuid4().hex[:12]}", min_texts, min_letters, id_col, text, source)
+    for part in (first, *later):
+        table.merge(part)
+    return table.places()

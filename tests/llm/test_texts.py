@@ -227,6 +227,30 @@ def test_repeated_lines_by_deltas(spark, parts):
     assert len(rebuilt) == len({r.id for r in rebuilt}) and all("Property" not in r.text for r in rebuilt)
 
 
+def test_counts_are_kept_from_run_to_run(spark, tmp_path):
+    """Two runs in sessions of their own: the second merges into the table of the first and rebuilds only what it concerns."""
+    notice, other = "Property of the library on the hill, do not remove", "Printed for the friends of the river and the bridge"
+    first = [(f"a{i}", f"Text {i}\n{notice} {i}", "s") for i in range(7)] + [(f"o{i}", f"{other}\nText {i}", "s") for i in range(9)]
+    later = [("b0", f"{notice} 77\nmore", "s"), ("b1", "a text of its own that has no line of others", "s"), ("a0", f"Text 0\n{notice} 0", "s")]
+    frame = lambda session, rows: session.createDataFrame(rows, "id string, text string, source_file string")
+    path = str(tmp_path / "counts")
+    one, two, three = spark.newSession(), spark.newSession(), spark.newSession()
+    added = repeated_lines.LineCounts(one, path).merge(frame(one, first))
+    assert {r.id for r in added.collect()} == {f"o{i}" for i in range(9)}
+    table = repeated_lines.LineCounts(two, path)
+    assert table.merges() == 1 and table.places().count() == 9
+    added = table.merge(frame(two, later))
+    # the line crossed by this merge: texts of before are concerned, those of the line crossed before are not
+    assert {r.id for r in added.collect()} == {f"a{i}" for i in range(7)} | {"b0"}
+    rebuilt = {r.id: r.text for r in repeated_lines.rebuilt_texts(frame(two, first + later), table, added).collect()}
+    assert rebuilt == {f"a{i}": f"Text {i}" for i in range(7)} | {"b0": "more"}
+    # a merge that was cut off before it was complete is done again
+    again = repeated_lines.LineCounts(three, path)
+    (tmp_path / "counts" / "counts" / "_3").mkdir()
+    again.merge(frame(three, [("c", f"{other}\nx", "s")]))
+    assert again.merges() == 3 and {(r.id, r.line_no) for r in again.places().collect()} == brute_lines(first + later + [("c", f"{other}\nx", "s")], 8)
+
+
 def test_repeated_lines_of_nothing(spark):
     empty = spark.createDataFrame([], "id string, text string, source_file string")
     assert repeated_lines.repeated_lines(empty, [empty]).count() == 0
