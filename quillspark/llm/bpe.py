@@ -14,13 +14,15 @@ its white space; the strings of special tokens are ordinary text.
 from __future__ import annotations
 
 import base64
+import os
 import re
 from collections.abc import Iterator
 from itertools import chain
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Where the public vocabulary files lie, unless a caller passes another folder.
@@ -107,10 +109,12 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class PieceCoder(dict):
     """Ids by pretoken, filled as pretokens come up."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, content: bytes | None = None):
         super().__init__()
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        if content is None:
+            with open(path, "rb") as file:
+                content = file.read()
+        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
 
     def __missing__(self, piece: str) -> list[int]:
         data = piece.encode("utf-8")
@@ -134,13 +138,25 @@ class PieceCoder(dict):
         return sum(map(len, map(self.__getitem__, self.pieces(text))))
 
 
-def coder(path: str) -> PieceCoder:
-    """The worker's coder of a vocabulary file, read once a process."""
+def coder(path: str, content: bytes | None = None) -> PieceCoder:
+    """The process' coder of a vocabulary file, made once of its content (read from the path where that is not given)."""
     if path not in _CODERS:
-        _CODERS[path] = PieceCoder(path)
+        _CODERS[path] = PieceCoder(path, content)
     return _CODERS[path]
 
 
+#: Bytes of a vocabulary file that are broadcast, at most.
+MOST_BYTES = 64_000_000
+
+
+def shared_vocabulary(spark: SparkSession, path: str) -> Broadcast:
+    """The file's content for all executors: only the driver needs to have the file."""
+    if os.path.getsize(path) > MOST_BYTES:
+        raise ValueError(f"a vocabulary file has at most {MOST_BYTES} bytes")
+    with open(path, "rb") as file:
+        return spark.sparkContext.broadcast(file.read())
+
+
 def vocabulary_path(tokenizer_dir: str = TOKENIZER_DIR, vocabulary: str = DEFAULT_VOCABULARY) -> str:
     return f"{tokenizer_dir}/{vocabulary}"
 
@@ -154,9 +170,10 @@ def encode_column(
     Extra columns of any name are left out; a null or repeated key is kept.
     """
     path = vocabulary or vocabulary_path()
+    content = shared_vocabulary(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = coder(path).encode
+        encode = coder(path, content.value).encode
         for batch in batches:
             ids: list[int] = []
             offsets = [0]
@@ -174,10 +191,11 @@ def encode_column(
 def count_tokens(df: DataFrame, text: str = "text", out: str = "n_tokens", vocabulary: str | None = None) -> DataFrame:
     """``df`` without ``text`` and with ``out``, the number of its tokens (0 for null and empty)."""
     path = vocabulary or vocabulary_path()
+    content = shared_vocabulary(df.sparkSession, path)
     kept = [c for c in df.columns if c not in (text, out)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = coder(path).count
+        count = coder(path, content.value).count
         for batch in batches:
             n = pa.array([count(t.as_py()) for t in batch.column(len(kept))], pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], n], names=[*kept, out])

@@ -72,6 +72,16 @@ def test_encoding_with_clashing_columns(spark):
     assert bpe.encode_column(df.limit(0), "doc_id").count() == 0
 
 
+def test_executors_need_no_vocabulary_file(spark, coder, tmp_path):
+    """The file is read by the driver only: it may be gone when tasks run."""
+    given = Path(bpe.vocabulary_path()).read_bytes()
+    own = tmp_path / "own.tiktoken"
+    own.write_bytes(given)
+    rows = bpe.encode_column(spark.createDataFrame([(1, "the river")], "doc_id long, text string"), "doc_id", vocabulary=str(own))
+    own.unlink()
+    assert rows.first().ids == coder.encode("the river")
+
+
 def packed(spark, items, **options):
     df = spark.createDataFrame(items, "doc_id long, n_tokens int, source string, cluster string")
     rows = packing.pack(df, **options).collect()
