@@ -363,7 +363,8 @@ def test_the_model_is_fitted():
         return total
 
     page = "the old woman went to the\nriver in the morning and\n\n{}\n\nto the other side of the\nwater. It was cold.\n\nShe was there."
-    texts = [scan_noise.observed(page.format(x).split("\n"), frozenset())[0] for x in ("~ 12 ~", "77", "[ The River ]", "THE RIVER   12")] * 40
+    seen = lambda text: scan_noise.observed(lines := text.split("\n"), scan_noise.looks_of(lines, frozenset())[0])
+    texts = [seen(page.format(x)) for x in ("~ 12 ~", "77", "[ The River ]", "THE RIVER   12")] * 40
     first = scan_noise.first_model()
     fitted = [scan_noise.fit_model(texts, rounds, prior=1.0) for rounds in (1, 2, 4)]
     values = [likelihood(m, texts) for m in (first, *fitted)]
