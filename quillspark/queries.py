@@ -1,7 +1,9 @@
 """Registered queries of the core: name -> (spark, sf_dir) -> DataFrame, and their SQL.
 
 Every query reads its whole tables.  The SQL is written for the oracle on its own terms
-(unnested lines, windows, as-of join), not as a copy of the expressions.
+(unnested lines, windows, as-of join, a recursion for the packer), not as a copy of the
+expressions.  Patterns are fixed values that both sides share; what each takes and leaves
+is said case by case in the tests.
 """
 
 from __future__ import annotations
