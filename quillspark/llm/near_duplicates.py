@@ -44,7 +44,7 @@ BANDS, BAND_ROWS, BITS = 44, 3, 128
 #: Texts of one band key that are held in one tree.
 SHARD_ROWS = 4_096
 #: Word hashes and classes that a worker remembers; emptied when full.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Sets of classes that a task keeps while it checks pairs.
 KEPT_SETS = 2_000
 #: Classes in candidate pairs up to which their keys (16 bytes each) are broadcast to choose texts.
