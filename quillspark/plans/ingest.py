@@ -10,6 +10,7 @@ from quillspark.operators.chunking import pack_chunks
 from quillspark.operators.cleaning import clean_documents
 from quillspark.operators.indexing import upsert, vector_records
 from quillspark.plugins import Embedder, embed_texts
+from quillspark.sources.tables import of_length
 from quillspark.staging import written
 
 
@@ -25,5 +26,7 @@ def chunks_to_vectors(chunks: DataFrame, embed: Embedder) -> tuple[DataFrame, Da
     return vector_records(chunks, good), embedded.where(F.col("error").isNotNull()).select("id", "error")
 
 
-def upsert_vectors(current: DataFrame, records: DataFrame) -> DataFrame:
+def upsert_vectors(current: DataFrame, records: DataFrame, dim: int | None = None) -> DataFrame:
+    """``dim`` is the length that all vectors must have."""
+    records = records if dim is None else of_length(records, dim)
     return upsert(current, records.withColumn("version", F.current_timestamp()))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,3 +36,28 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
     return spark.read.schema(VECTOR + ", version timestamp").parquet(path) if there else spark.createDataFrame([], VECTOR + ", version timestamp")
+
+
+def ensure_index(spark: SparkSession, path: str, dim: int, metric: str = "cosine") -> None:
+    """Makes a vector table's folder where there is none, with its vectors' length and metric; one that has others is an error."""
+    wanted = {"dim": dim, "metric": metric}
+    fs = spark._jvm.org.apache.hadoop.fs
+    note = fs.Path(f"{path.rstrip('/')}/_index.json")
+    files = note.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(note):
+        # a hidden file, which readers of the table pass over
+        stream = files.open(note)
+        found = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        stream.close()
+        if found != wanted:
+            raise ValueError(f"the table at {path} has {found}, not {wanted}")
+        return
+    out = files.create(note, False)
+    out.write(bytearray(json.dumps(wanted).encode()))
+    out.close()
+
+
+def of_length(vectors: DataFrame, dim: int, values: str = "values") -> DataFrame:
+    """The same rows; one whose vector has another length ends the job with an error, where it is read."""
+    wrong = F.raise_error(F.concat(F.lit(f"a vector of another length than {dim}: "), F.coalesce(F.col("id").cast("string"), F.lit("no id"))))
+    return vectors.withColumn(values, F.when(F.size(values) == dim, F.col(values)).otherwise(wrong.cast(vectors.schema[values].dataType)))

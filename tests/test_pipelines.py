@@ -244,3 +244,20 @@ def test_steps_from_the_command_line(spark, tmp_path, capsys):
     out = capsys.readouterr().out
     assert "BadZipFile" in out and "avg_score" in out
     assert read_chunks(spark, at("chunks-all") + "/*.json", True).first().chapter == "Chapter I: Wolf"
+
+
+def test_an_index_has_one_length_and_metric(spark, tmp_path):
+    from quillspark.sources.tables import ensure_index
+
+    path = str(tmp_path / "index")
+    for _ in range(2):
+        ensure_index(spark, path, 2)
+    for other in ({"dim": 3}, {"dim": 2, "metric": "dot"}):
+        with pytest.raises(ValueError):
+            ensure_index(spark, path, **other)
+    held = spark.createDataFrame([("a", [1.0, 0.0], None)], "id string, values array<float>, version timestamp")
+    good = spark.createDataFrame([("b", [0.0, 1.0])], "id string, values array<float>")
+    assert {r.id for r in upsert_vectors(held, good, 2).collect()} == {"a", "b"}
+    for bad in ([1.0], None):
+        with pytest.raises(Exception, match="another length"):
+            upsert_vectors(held, good.union(spark.createDataFrame([("c", bad)], good.schema)), 2).collect()
