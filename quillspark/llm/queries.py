@@ -18,8 +18,8 @@ from quillspark.llm.scan_noise import find_noise, repair
 from quillspark.llm.spam import spam_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-#: Lines of a source in at least 8 texts, said at once instead of by deltas. The other operators have no SQL: they are
-#: approximate, learned from the corpus, or too slow as SQL over whole tables, and are tested against brute force.
+#: Lines of a source in at least 8 texts, said at once instead of by deltas. The operators without SQL are approximate or
+#: learned from the corpus, and are tested against brute force, an exact round trip or cases.
 _LINES = r"""WITH c AS (SELECT DISTINCT id, source_file, text FROM chunks WHERE text IS NOT NULL),
 l AS (SELECT id, source_file, i - 1 AS line_no, ls[i] AS x FROM (SELECT id, source_file, ls, unnest(range(1, len(ls) + 1)) AS i
     FROM (SELECT id, source_file, string_split(text, chr(10)) AS ls FROM c))),
@@ -34,6 +34,16 @@ ORACLE: dict[str, str] = {
     + """SELECT c.id, array_to_string(list_transform(list_filter(range(1, len(string_split(c.text, chr(10))) + 1),
     lambda i: NOT list_contains(g.gone, (i - 1)::INT)), lambda i: string_split(c.text, chr(10))[i]), chr(10)) AS text
     FROM (SELECT id, any_value(text) AS text FROM c GROUP BY id) c JOIN (SELECT id, list(line_no) AS gone FROM f GROUP BY id) g ON c.id = g.id""",
+    "p4_texts": _LINES
+    + """SELECT c.id, CASE WHEN g.gone IS NULL THEN c.text ELSE array_to_string(list_transform(list_filter(range(1, len(string_split(c.text, chr(10))) + 1),
+    lambda i: NOT list_contains(g.gone, (i - 1)::INT)), lambda i: string_split(c.text, chr(10))[i]), chr(10)) END AS text
+    FROM (SELECT id, any_value(text) AS text FROM chunks GROUP BY id) c LEFT JOIN (SELECT id, list(line_no) AS gone FROM f GROUP BY id) g ON c.id = g.id""",
+    # texts that share a sequence of three words meet by it
+    "p3_found": r"""WITH w AS (SELECT id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM (SELECT DISTINCT id, text FROM chunks WHERE text IS NOT NULL)),
+    s AS (SELECT DISTINCT id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+    n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+    p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS both_ FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
+    SELECT id_a, id_b FROM p JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE both_ >= 0.5 * (x.n + y.n - both_)""",
 }
 
 
