@@ -33,21 +33,26 @@ def any_of(*rules: str, ignore_case: bool = True) -> str:
     return ("(?i)" if ignore_case else "") + "(?:" + "|".join(rules) + ")"
 
 
-def by_line(rule: str) -> str:
+def by_line(rule: str, guard: str = "") -> str:
     """A rule of a stripped line, anchored at its start, as a rule of a whole text that finds it in any of its lines.
 
-    It finds at most one place a line, so that counting places counts lines.
+    It finds at most one place a line, so that counting places counts lines.  ``guard`` is what every line that it takes
+    begins with: most others are told by it.
     """
-    return "(?dm)" + _in_lines(rule)
+    return f"(?dm){_guarded(guard)}(?:{_in_lines(rule)})"
+
+
+def _guarded(guard: str) -> str:
+    return f"^(?={L}*+(?:{guard.replace(SPACES, IN_LINE)}))" if guard else ""
 
 
 def _in_lines(rule: str) -> str:
     return rule.replace(SPACES, IN_LINE).replace(r"\A", f"^{L}*+").replace(r"\z", f"{L}*+$")
 
 
-def whole_line(rule: str, anywhere: str | None = None) -> str:
+def whole_line(rule: str, anywhere: str | None = None, guard: str = "") -> str:
     """As ``by_line``, but finds the whole line; ``anywhere`` is a rule that may hold at any place of the line."""
-    inner = f"(?:{_in_lines(rule)})" + (f"|^[^\n]*(?:{_in_lines(anywhere)})" if anywhere else "")
+    inner = f"{_guarded(guard)}(?:{_in_lines(rule)})" + (f"|^[^\n]*(?:{_in_lines(anywhere)})" if anywhere else "")
     return f"(?dm)(?:{inner})[^\n]*$"
 
 
@@ -106,20 +111,36 @@ TOC_LINE = any_of(
     rf"\A[0-9]{{1,2}}{S}+(?:{MONTHS}){S}+[0-9]{{4}}\z",
 )
 
+#: What lines of contents begin with: a short line's whole, or a word or number.
+TOC_GUARD = (
+    rf"[^\n]{{0,45}}{L}*+$|(?i:chapter|part|section|lecture|seminar|introduction|preface|foreword|acknowledgment|bibliography|index|contents)"
+    rf"|(?i:[ivxlcdm]+\.?(?:{L}|$))|[0-9]{{1,2}}{L}"
+)
+
+
 def front_anywhere(publishers: tuple[str, ...] = ()) -> str:
     """What makes a line front matter wherever it stands in it; ``publishers`` are patterns of publishers' and series' names."""
-    return any_of(
-        "copyright",
-        rf"all{S}+rights{S}+reserved",
-        "isbn",
-        rf"library{S}+of{S}+congress",
-        rf"printed{S}+in{S}+(?:the{S}+)?(?:united|usa|u\.s)",
-        rf"published{S}+by",
-        rf"first{S}+(?:edition|printing|published)",
-        *publishers,
-    )
+    return any_of(*_FRONT_WORDS, *publishers)
+
+
+_FRONT_WORDS = (
+    "copyright",
+    rf"all{S}+rights{S}+reserved",
+    "isbn",
+    rf"library{S}+of{S}+congress",
+    rf"printed{S}+in{S}+(?:the{S}+)?(?:united|usa|u\.s)",
+    rf"published{S}+by",
+    rf"first{S}+(?:edition|printing|published)",
+)
+
+
+def front_somewhere(publishers: tuple[str, ...] = ()) -> str:
+    """Whether a text has front matter anywhere: the rules behind their first letters, which pass over most places."""
+    words = f"(?=[acfilpACFILP]){any_of(*_FRONT_WORDS)}"
+    return any_of(words, *(any_of(p) for p in publishers), by_line(FRONT_START, FRONT_GUARD), ignore_case=False)
 
 
+FRONT_GUARD = "(?i:ta|co|ac|me|li|bi|ch)"
 FRONT_START = any_of(
     whole(rf"table{S}+of{S}+contents"),
     whole("contents"),

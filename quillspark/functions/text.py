@@ -9,6 +9,16 @@ from quillspark.functions import patterns as P
 from quillspark.functions.patterns import Author
 
 
+def once(value: Column, function) -> Column:
+    """``function(value)``, the value being computed once however often the function names it."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
+def where_found(text: Column, rule: str, function) -> Column:
+    """``function(text)`` where the rule holds somewhere in the text, else the text: one scan for texts that have nothing of it."""
+    return once(text, lambda t: F.when(t.rlike(rule), function(t)).otherwise(t))
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
     return F.btrim(text, F.lit(P.SPACE_CHARS))
@@ -41,7 +51,7 @@ def dehyphenate(text: Column) -> Column:
 
 
 def plain_dashes(text: Column) -> Column:
-    return F.translate(text, "—–", "--")
+    return F.replace(F.replace(text, F.lit("—"), F.lit("-")), F.lit("–"), F.lit("-"))
 
 
 def straight_quotes(text: Column) -> Column:
@@ -59,8 +69,9 @@ def normalize_ocr(text: Column, author: Author | None = None, quotes: bool = Fal
         t = F.regexp_replace(t, r"\b" + rf"{P.S}*\.{P.S}*".join(n[0] for n in names) + rf"{P.S}*\.", "".join(n[0] + "." for n in names))
     t = F.regexp_replace(t, rf"\bM{P.S}*\.{P.S}*D{P.S}*\.", "M.D.")
     t = F.regexp_replace(t, rf"\bP{P.S}*h{P.S}*\.{P.S}*D{P.S}*\.", "Ph.D.")
-    for n in (5, 4):
-        t = F.regexp_replace(t, r"\b" + rf"{P.S}+".join(["([A-Z])"] * n) + r"\b", "".join(f"${i + 1}" for i in range(n)))
+    spaced = lambda n, letter: r"\b" + rf"{P.S}+".join([letter] * n)
+    joined = lambda x, n: F.regexp_replace(x, spaced(n, "([A-Z])") + r"\b", "".join(f"${i + 1}" for i in range(n)))
+    t = where_found(t, spaced(4, "[A-Z]"), lambda x: joined(joined(x, 5), 4))
     if quotes:
         t = straight_quotes(t)
     t = F.replace(t, F.lit("…"), F.lit("..."))
@@ -76,8 +87,9 @@ def drop_page_markers(text: Column) -> Column:
 
 def drop_footnote_marks(text: Column) -> Column:
     """Without raised digits and bracketed numbers; a bracketed number before a capital stays."""
-    t = F.regexp_replace(text, "[¹²³⁴⁵⁶⁷⁸⁹⁰]+", "")
-    return F.regexp_replace(t, rf"\[[0-9]+\](?!{P.S}*[A-Z])", "")
+    t = F.regexp_replace(text, "[¹²³⁰⁴-⁹]+", "")
+    numbers = rf"\[[0-9]+\](?!{P.S}*[A-Z])"
+    return once(t, lambda x: F.when(x.contains("["), F.regexp_replace(x, numbers, "")).otherwise(x))
 
 
 def clean_extracted(text: Column) -> Column:
@@ -134,14 +146,15 @@ def count_lines(text: Column, rule: str) -> Column:
 def without_lines(text: Column, rule: str) -> Column:
     """The text without the lines in which a rule of a whole stripped line holds."""
     inner = rule.removeprefix("(?dm)")
-    first = F.regexp_replace(text, f"(?dm){inner}\n", "")
-    return F.regexp_replace(first, rf"(?dm)(?:\A|\n){inner}\z", "")
+    last = rf"(?dm)(?:\A|\n){inner}\z"
+    return where_found(text, rule, lambda t: F.regexp_replace(F.regexp_replace(t, f"(?dm){inner}\n", ""), last, ""))
 
 
 def is_index_like(paragraph: Column) -> Column:
     """At least ten words, and page references at over 15 in a hundred words."""
     words = F.size(F.split(strip(paragraph), rf"{P.S}+"))
-    return (words >= 10) & (F.regexp_count(paragraph, F.lit(P.PAGE_REFERENCE)) > words * 0.15)
+    # most paragraphs have no such reference, and their words need not be counted
+    return paragraph.rlike(P.PAGE_REFERENCE) & (words >= 10) & (F.regexp_count(paragraph, F.lit(P.PAGE_REFERENCE)) > words * 0.15)
 
 
 # Paragraphs and sentences --------------------------------------------------------------------------------
@@ -186,8 +199,9 @@ def merge_text(text: Column) -> Column:
 
 
 def count_tokens(text: Column) -> Column:
-    """The native token counter: pieces of words and signs."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(P.TOKEN))
+    """The native token counter: pieces of words and signs (``patterns.TOKEN``), each made one character and counted."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), "[A-Za-z0-9]+", "a")
+    return F.length(F.regexp_replace(t, r"[ \t\n\r\f\x0b]+", ""))
 
 
 # Labels --------------------------------------------------------------------------------------------------

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions import patterns as P
-from quillspark.functions.text import chapter_label, count_tokens, is_index_like, sentences, strip, work_metadata
+from quillspark.functions.text import chapter_label, count_tokens, is_index_like, sentences, strip, where_found, work_metadata
 from quillspark.operators.chapters import with_markers
 from quillspark.operators.tagging import concept_tags
 
@@ -35,7 +35,8 @@ def pieces(text: Column) -> Column:
 
     The raw lengths add up to the text's, so that each paragraph's place is known without a search.
     """
-    marked = F.regexp_replace(F.translate(text, _CUT, "?"), rf"(\n{P.S}*\n)", f"{_CUT}$1{_CUT}")
+    plain = where_found(text, _CUT, lambda x: F.translate(x, _CUT, "?"))
+    marked = F.regexp_replace(plain, rf"(\n{P.S}*\n)", f"{_CUT}$1{_CUT}")
     bare = lambda x: strip(x)
     return F.transform(
         F.split(marked, _CUT, -1),
@@ -166,7 +167,9 @@ def pack_chunks(
         F.col("units.kind"), F.col("units.tokens"), F.col("units.piece"), F.col("pieces.size"), F.col("pieces.lead"), inner,
         F.col("markers.char_index"), labels,
     )
-    df = df.select("key", "source_file", "units", fold.alias("chunks"))
+    # the title is a document's, made before its chunks are rows
+    title = work_metadata(F.col("source_file"), titles, publishers).title
+    df = df.select("key", "source_file", title.alias("title"), "units", fold.alias("chunks"))
 
     def chunk(c: Column) -> Column:
         joined = F.array_join(
@@ -185,14 +188,14 @@ def pack_chunks(
     name = lambda x, i: F.substring(F.md5(F.concat_ws(":", "source_file", x.c.start, x.c.end, i)), 1, 16)
     df = df.withColumn("ids", F.transform("kept", name))
     # the outer form: from the plain one the optimizer infers filters that it pushes below all this, expression by expression
-    out = df.select("key", "source_file", "kept", "ids", F.posexplode_outer("kept").alias("n", "x")).where(F.col("n").isNotNull())
+    out = df.select("key", "source_file", "title", "kept", "ids", F.posexplode_outer("kept").alias("n", "x")).where(F.col("n").isNotNull())
     content = F.col("x.c.text")
     return out.select(
         *([F.col("key").alias(key)] if key != "source_file" else []),
         F.get("ids", F.col("n")).alias("id"),
         content.alias("text"),
         "source_file",
-        work_metadata(F.col("source_file"), titles, publishers).title.alias("work_title"),
+        F.col("title").alias("work_title"),
         F.col("x.c.chapter").alias("chapter"),
         F.col("n").alias("chunk_index"),
         F.size("kept").alias("total_chunks"),

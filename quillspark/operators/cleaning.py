@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from quillspark.functions import patterns as P
 from quillspark.functions.patterns import Author
 from quillspark.functions.text import (
-    PROSE_LINE, count_lines, drop_footnote_marks, is_section_to_remove, lines, normalize_ocr, squeeze_blanks, squeeze_breaks,
-    strip, strip_lines, unlines, without_lines,
+    PROSE_LINE, count_lines, drop_footnote_marks, is_section_to_remove, lines, normalize_ocr, once, squeeze_blanks, squeeze_breaks,
+    strip, strip_lines, unlines, where_found, without_lines,
 )
 
 #: Lines after which the search for the beginning is given up.
@@ -27,10 +27,12 @@ _KINDS = _FRONT + _TOC + _PROSE + _OTHER + _EMPTY
 
 def line_kinds(text: Column, publishers: tuple[str, ...] = ()) -> Column:
     """A letter for each line: front matter, contents, prose, other or empty, of which the first that holds counts."""
-    t = F.concat(F.translate(text, _KINDS, "?" * len(_KINDS)), F.lit("\n"))
+    t = where_found(text, f"[{_KINDS}]", lambda x: F.translate(x, _KINDS, "?" * len(_KINDS)))
+    # most texts have no front matter, which one search tells
+    lines_of = P.whole_line(P.FRONT_START, P.front_anywhere(publishers), P.FRONT_GUARD)
+    t = where_found(F.concat(t, F.lit("\n")), P.front_somewhere(publishers), lambda x: F.regexp_replace(x, lines_of, _FRONT))
     for rule, kind in (
-        (P.whole_line(P.FRONT_START, P.front_anywhere(publishers)), _FRONT),
-        (P.whole_line(P.TOC_LINE), _TOC),
+        (P.whole_line(P.TOC_LINE, guard=P.TOC_GUARD), _TOC),
         (PROSE_LINE + "[^\n]*$", _PROSE),
         (rf"(?dm)^{P.L}*+$", _EMPTY),
         (rf"(?dm)^[^\n{_KINDS}][^\n]*$", _OTHER),
@@ -115,9 +117,14 @@ def line_classes(
         key,
         (all_lines - count_lines(t, rf"(?dm)^{P.L}*+[^\n]")).alias("blank"),
         count_lines(t, P.by_line(P.clean_header(author))).alias("headers"),
-        count_lines(t, P.by_line(P.TOC_LINE)).alias("toc"),
+        count_lines(t, P.by_line(P.TOC_LINE, P.TOC_GUARD)).alias("toc"),
         count_lines(t, PROSE_LINE).alias("prose"),
-        count_lines(t, P.whole_line(P.FRONT_START, P.front_anywhere(publishers))).alias("front"),
+        once(
+            t,
+            lambda x: F.when(
+                x.rlike(P.front_somewhere(publishers)), count_lines(x, P.whole_line(P.FRONT_START, P.front_anywhere(publishers), P.FRONT_GUARD))
+            ).otherwise(0),
+        ).alias("front"),
         count_lines(t, P.by_line(P.BACK_HEADING)).alias("back"),
         count_lines(t, "(?dm)^" + sections + P.by_line(P.any_of(P.SECTION_TO_REMOVE, P.BY_SOMEBODY, ignore_case=False)).removeprefix("(?dm)") + ")").alias("sections"),
     )

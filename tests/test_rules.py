@@ -68,3 +68,6 @@ def test_rule(spark, name):
     inside = F.concat(F.lit("Some words.\n"), F.col("x"), F.lit("\nmore, or less."))
     whole = P.whole_line(P.FRONT_START, P.front_anywhere(("silver house", "some press"))) if name == "front" else P.by_line(rule)
     assert rows.where(inside.rlike(whole) != F.col("expected")).collect() == []
+    # what guards a rule leaves out nothing of it
+    guarded = {"front": P.front_somewhere(("silver house", "some press")), "toc": P.by_line(rule, P.TOC_GUARD)}.get(name, whole)
+    assert rows.where(inside.rlike(guarded) != F.col("expected")).collect() == []
