@@ -282,6 +282,8 @@ class _Routes:
             cell = visitors.column("cell")[0].as_py()
             local = np.asarray(known.column("centroids").combine_chunks().flatten(), np.float32).reshape(-1, self.dim)
             order, near = self._near(visitors.column("values"), local)
+            # a visitor from another cell searches the nearest shard only, so that a row goes to 2 * probes + 1 shards at most
+            near[visitors.column("role").to_numpy() == ASKS, 1:] = False
             index, place = np.nonzero(near)
             role = visitors.column("role").to_numpy()[index]
             taken = visitors.take(pa.array(index))
