@@ -760,6 +760,13 @@ def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexing.upsert(current, incoming, version="ingested_at")
 
 
+@query("SELECT row_number() OVER (ORDER BY ingested_at DESC NULLS LAST, id) AS place, id, ingested_at FROM (SELECT id, max(ingested_at) AS ingested_at FROM chunks GROUP BY id)")
+def newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each id by its last delivery, the newest first."""
+    last = _table(spark, sf_dir, "chunks").groupBy("id").agg(F.max("ingested_at").alias("ingested_at"))
+    return indexing.numbered(last, F.desc_nulls_last("ingested_at"), F.asc("id"))
+
+
 @query(
     """SELECT DISTINCT id, left(text, 8000) AS text, source_file, work_title, chunk_index, total_chunks, left(nullif(chapter, ''), 200) AS chapter, start_char, end_char FROM chunks"""
 )
@@ -798,17 +805,19 @@ def top_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Queries (ids whose last 8 of 16 digits, read as a hexadecimal number, are divisible by 50; so the SQL has it) and their relevant hits with their fields."""
+    """Queries (ids that are divisible by 50, read as hexadecimal numbers) and their relevant hits with their fields."""
     rows = _table(spark, sf_dir, "vectors").where(F.size("values") == 128)
     once = rows.groupBy("id").agg(F.first("values").alias("values"))
-    asked = once.where(F.conv(F.substring("id", 9, 8), 16, 10).cast("long") % 50 == 0).withColumnRenamed("id", "query_id")
+    # an id of 16 digits is high * 2^32 + low, and 2^32 leaves 46 when divided by 50
+    half = lambda at: F.conv(F.substring("id", at, 8), 16, 10).cast("long") % 50
+    asked = once.where((46 * half(1) + half(9)) % 50 == 0).withColumnRenamed("id", "query_id")
     hits = retrieval.relevant(retrieval.top_similar(asked, once, 128))
     fields = rows.select("id", "metadata.work_title", "metadata.chapter", "metadata.text").dropDuplicates(["id"])
     return asked, retrieval.hit_fields(hits.join(fields, "id"))
 
 
 _HITS = f"""WITH v AS (SELECT id, any_value("values")::DOUBLE[] AS v, any_value(metadata) AS m FROM vectors WHERE len("values") = 128 AND list_sum(list_transform("values", lambda x: abs(x))) > 0 GROUP BY id),
-a AS (SELECT id AS query_id, v FROM v WHERE ('0x' || substr(id, 9, 8))::BIGINT % 50 = 0),
+a AS (SELECT id AS query_id, v FROM v WHERE ('0x' || id)::UBIGINT % 50 = 0),
 s AS (SELECT query_id, id, m, list_cosine_similarity(a.v, v.v) AS score FROM a, v),
 r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INT AS rank FROM s),
 h AS (SELECT query_id, id, rank, score, coalesce(nullif(m.work_title, ''), 'Unknown') AS work_title, nullif(m.chapter, '') AS chapter, coalesce(m.text, '') AS text FROM r WHERE rank <= 3 AND score > 0.7)
