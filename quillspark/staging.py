@@ -30,12 +30,12 @@ def ship(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, under it one for this application.
 
-    Where it is unset, a new temporary folder is taken on a local master, as in tests; on a cluster that is an error, as
-    each executor would write to a disk of its own.
+    Where it is unset, a new temporary folder is taken on a local master (also one with executors, which are on the same
+    machine), as in tests; on a cluster that is an error, as each executor would write to a disk of its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)

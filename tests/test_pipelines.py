@@ -221,7 +221,7 @@ def test_shared_folder_of_a_cluster_must_be_named():
 
     from quillspark import staging
 
-    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+    for master in ("spark://host:7077", "k8s://host", "yarn"):
         fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master=master, applicationId="a"))
         with pytest.raises(RuntimeError):
             staging.shared_folder(fake)
