@@ -193,6 +193,11 @@ def author_content(author: Author | None = None) -> str:
     return any_of(*rules)
 
 
+#: The first letters of all rules of sections.
+SECTION_BEGINS = (
+    "table|content|inhalt|index|subject|name|general|foreword|editor|translator|publisher|bibliography|references|works|suggested|further|appendix|"
+    "copyright|all|isbn|library|printed|published|first|introduction|preface|author|chapter|part|[0-9]"
+)
 SECTION_END = any_of(prefix(rf"(?:chapter|part){S}+{ROMAN_OR_DIGITS}"), prefix(rf"[0-9]+\.{S}+[A-Z]"))
 
 HEADING_START = any_of(rf"\A(?:CHAPTER|PART|SECTION|LECTURE){S}+{ROMAN_OR_DIGITS}")

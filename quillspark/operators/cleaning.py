@@ -137,12 +137,21 @@ def removable_sections(documents: DataFrame, key: str = "doc_id", text: str = "t
     removable heading on.
     """
     df = documents.select(F.col(key).alias("key"), lines(F.col(text)).alias("l"))
-    s = lambda x: strip(x)
-    ends = F.filter(
-        F.transform("l", lambda x, i: F.when(s(x).rlike(P.SECTION_END) | s(x).rlike(P.author_content(author)), i)), lambda i: i.isNotNull()
+    # one test of what the rules begin with leaves few lines for the rules themselves
+    begins = P.SECTION_BEGINS + (f"|{author.surname}" if author else "")
+    marked = F.filter(
+        F.transform("l", lambda x, i: F.struct(i.alias("i"), strip(x).alias("s"))), lambda r: r.s.rlike(rf"(?i)\A(?:{begins})")
     )
-    starts = F.filter(F.transform("l", lambda x, i: F.when(is_section_to_remove(s(x), author), i)), lambda i: i.isNotNull())
-    df = df.withColumn("ends", ends).withColumn("starts", starts)
+    flags = F.transform(
+        marked,
+        lambda r: F.struct(
+            r.i.alias("i"), (r.s.rlike(P.SECTION_END) | r.s.rlike(P.author_content(author))).alias("ends"),
+            is_section_to_remove(r.s, author).alias("starts"),
+        ),
+    )
+    df = df.withColumn("flags", flags)
+    places = lambda which: F.transform(F.filter("flags", lambda r: r[which]), lambda r: r.i)
+    df = df.withColumn("ends", places("ends")).withColumn("starts", places("starts"))
     size = F.size("l")
     next_end = lambda i: F.coalesce(F.array_min(F.filter("ends", lambda e: e > i)), size)
     found = F.transform("starts", lambda i: F.struct(i.alias("start_line"), next_end(i).alias("end_line")))

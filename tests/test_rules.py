@@ -71,3 +71,10 @@ def test_rule(spark, name):
     # what guards a rule leaves out nothing of it
     guarded = {"front": P.front_somewhere(("silver house", "some press")), "toc": P.by_line(rule, P.TOC_GUARD)}.get(name, whole)
     assert rows.where(inside.rlike(guarded) != F.col("expected")).collect() == []
+
+
+def test_rules_of_sections_begin_as_said():
+    import re
+
+    begins = re.compile(rf"(?i)\s*(?:{P.SECTION_BEGINS}|{AUTHOR.surname})")
+    assert all(begins.match(x) for name in ("section", "somebody", "own", "ends") for x in CASES[name][1])
